@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import Memo, texts_of, with_columns
 
 BITS = 20
-MAX_ROWS = 6_000
+MAX_ROWS = 10_000
 FOLDS = 5
 THRESHOLD = 0.3
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +57,7 @@ def logistic(x: float) -> float:
 class Ftrl:
     """Follow the regularised leader, proximal, with a rate for each coordinate; the bias is the last place."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.05, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0):
+    def __init__(self, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros((1 << bits) + 1)
         self.n = np.zeros((1 << bits) + 1)
@@ -79,7 +79,7 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 3, **options) -> np.ndarray:
+def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 5, **options) -> np.ndarray:
     """Weights from at most max_rows rows of (id, text, label); the bias is last."""
     order = F.xxhash64(id_col, F.lit("train"))
     some = rows.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.col(id_col).alias("id"), order.alias("turn"))

@@ -80,7 +80,7 @@ class Memo(dict):
     """Results of a function by key, found for many new keys at once. Emptied when it would pass limit keys, so
     that memory is bounded; results don't depend on it."""
 
-    def __init__(self, fn: Callable[[list], Iterable], limit: int = 1 << 20):
+    def __init__(self, fn: Callable[[list], Iterable], limit: int = 1 << 19):
         super().__init__()
         self.fn, self.limit = fn, limit
 
