@@ -40,12 +40,16 @@ def word_hashes(words: list[bytes]) -> list[int]:
 MEMO = Memo(word_hashes)
 
 
-def features(text: str, bits: int, memo: Memo = MEMO) -> np.ndarray:
+def learn(texts: list[str]) -> None:
+    MEMO.learn(t.encode().lower().split() for t in texts)
+
+
+def features(text: str, bits: int) -> np.ndarray:
     """Places of the distinct words and word pairs."""
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    h = np.array(list(map(memo.learn([words]), words)), np.uint64)
+    h = np.array(list(map(MEMO.learn([words]), words)), np.uint64)
     both = np.concatenate([h, (h[:-1] * ODD ^ h[1:]) * ODD])
     return np.unique(both >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -118,7 +122,7 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", score_col:
 
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = texts_of(batch, text_col)
-            MEMO.learn(t.encode().lower().split() for t in texts)
+            learn(texts)
             return [pa.array([one(t) for t in texts], pa.float64())]
 
         return fn
