@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, packing, quality, secrets
+from . import bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, quality, secrets
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,6 +36,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,7 +64,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op7_best_fit_packing": op7_best_fit_packing, "op6_secret_scan": op6_secret_scan, "op8_quality_rules": op8_quality_rules, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_best_fit_packing": op7_best_fit_packing, "op6_secret_scan": op6_secret_scan, "op8_quality_rules": op8_quality_rules, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
