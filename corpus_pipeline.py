@@ -1,9 +1,62 @@
-"""A corpus pipeline of the operators in kura.llm."""
+"""A corpus pipeline of the operators in kura.llm: documents in, packed sequences out."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kura.llm import line_dedup, ngram_join, packing, quality, secrets
+from kura.llm.common import materialize, table
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def recount(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with n_chars of its present texts."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    return docs.select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose verdict is kept."""
+    return quality.keep_good(docs)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without blocks of lines that an earlier document has; documents of which nothing is left go."""
+    return recount(line_dedup.keep_rest(docs), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group linked by five-word shingles at a similarity of 0.8."""
+    groups = ngram_join.join(docs.select("doc_id", "text"), n=5, percent=80)
+    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets masked."""
+    return recount(secrets.redact(docs), docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences."""
+    return packing.pack(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_deduplication),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Tokenising, alignment and linking aren't expressible in SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
