@@ -37,7 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kura_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of a materialized df that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.kura_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

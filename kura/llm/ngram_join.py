@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, materialize, texts_of
+from .common import chunks, materialize, release, texts_of
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: At most so many frequent tokens are sent to all tasks; with fewer than LEAST rows a token isn't frequent.
@@ -32,14 +32,8 @@ MOST_FREQUENT, LEAST = 1 << 18, 24
 #: Members of a block at once; a larger block is dealt in pairs of parts.
 PART = 4096
 LEAF = 8
-
-MEMO = Memo(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words])
-
-
-def learn(parts: list[list[bytes]]) -> None:
-    """Must precede shingles(). A function of this module, so that workers share their module's memo."""
-    MEMO.learn(parts)
-
+#: Most members of a block whose pairs are held against the positions of its token.
+MATRIX = 256
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
@@ -49,7 +43,7 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct n-grams."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(MEMO.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(n, len(words))
     end = len(words) - k + 1
     s = h[:end].copy()
@@ -66,8 +60,8 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def width(size: int) -> int:
-    """Bits of a bitmap: about eight for each token."""
-    return max(512, 8 << max(size - 1, 0).bit_length())
+    """Bits of a bitmap: four to eight for each token."""
+    return max(256, 4 << max(size - 1, 0).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -179,7 +173,6 @@ def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
         for whole in batches:
             for batch in chunks(whole, "text"):
                 words = [words_of(t) for t in texts_of(batch, "text")]
-                learn(words)
                 out: list[list] = [[], [], [], [], []]
                 for some in words:
                     s = shingles(some, n)
@@ -211,8 +204,9 @@ def blocks(profiles: DataFrame, percent: int) -> DataFrame:
         seen: dict[int, None] = {}
         rest: list[np.ndarray] = []
 
-        def emit(token, key, size):
-            """Blocks of the tokens in these sorted rows."""
+        def emit(token, key, place):
+            """Blocks of the tokens in these sorted rows; place is size and position in the order."""
+            size, position = place >> 32, place & 0xFFFFFFFF
             starts = np.flatnonzero(np.diff(token, prepend=token[0] - 1 if token[0] > np.iinfo(np.int64).min else 0))
             starts = np.union1d(starts, [0])
             ends = np.append(starts[1:], token.size)
@@ -222,11 +216,17 @@ def blocks(profiles: DataFrame, percent: int) -> DataFrame:
                 k, first = np.unique(key[a:b], return_index=True)
                 if k.size < 2:
                     continue
-                s = size[a:b][first]
-                order = np.argsort(s, kind="stable")
-                k, s = k[order], s[order]
-                near = 100 * s[:-1] >= percent * s[1:]
-                k = k[np.append(near, False) | np.append(False, near)]
+                s, after = size[a:b][first], (size - position)[a:b][first]
+                if k.size <= MATRIX:
+                    # where this token is the first that two sets share, what follows it bounds their overlap
+                    may = np.minimum(after[:, None], after) >= need(s[:, None], s, percent)
+                    np.fill_diagonal(may, False)
+                    k = k[may.any(1)]
+                else:
+                    order = np.argsort(s, kind="stable")
+                    k, s = k[order], s[order]
+                    near = 100 * s[:-1] >= percent * s[1:]
+                    k = k[np.append(near, False) | np.append(False, near)]
                 if k.size < 2:
                     continue
                 k.sort()
@@ -247,17 +247,17 @@ def blocks(profiles: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, key, size = (batch[c].to_numpy() for c in ("token", "key", "size"))
+            token, key, place = (batch[c].to_numpy() for c in ("token", "key", "place"))
             if rest:
-                token, key, size = (np.concatenate([r, x]) for r, x in zip(rest, (token, key, size), strict=True))
+                token, key, place = (np.concatenate([r, x]) for r, x in zip(rest, (token, key, place), strict=True))
             cut = int(np.searchsorted(token, token[-1]))
-            rest = [token[cut:], key[cut:], size[cut:]]
-            if cut and (found := emit(token[:cut], key[:cut], size[:cut])):
+            rest = [token[cut:], key[cut:], place[cut:]]
+            if cut and (found := emit(token[:cut], key[:cut], place[:cut])):
                 yield found
         if rest and (found := emit(*rest)):
             yield found
 
-    tokens = profiles.select(F.explode("prefix").alias("token"), "key", "size")
+    tokens = profiles.select(F.posexplode("prefix").alias("at", "token"), "key", "size").select("token", "key", (F.shiftleft("size", 32) + F.col("at")).alias("place"))
     return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "block long, key long").distinct()
 
 
@@ -298,7 +298,6 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                 words = [[words_of(t) for t in texts_of(batch, c)] for c in ("ta", "tb")]
                 linked = []
                 for x, y in zip(*words, strict=True):
-                    learn([x, y])
                     s, t = shingles(x, n), shingles(y, n)
                     common = np.intersect1d(s, t, assume_unique=True).size
                     linked.append(100 * common >= percent * (s.size + t.size - common))
@@ -348,6 +347,7 @@ def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int =
     members = materialize(blocks(profiles, percent), "ngram-blocks")
     used = members.select("key").distinct().join(classes.select("key", "doc_id"), "key")
     owned = materialize(profiles.select("doc_id", "size", "bits").join(used, "doc_id").dropDuplicates(["doc_id"]), "ngram-bitmaps")
+    release(profiles)
     links, tried, todo = None, None, members
     while True:
         pairs = materialize(candidates(todo, owned, tried, percent), "ngram-pairs")
