@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, quality, secrets
-from .common import table
+from . import bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, warc
+from .common import shared_dir, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,28 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    read = warc.read(spark, path)
+    response = F.col("record_type") == "response"
+    return read.select(
+        warc.page_id("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.substring("payload_digest", 6, 40)).alias("payload_digest"),
+        "record_type",
+        warc.page_id("refers_to").alias("refers_to"),
+    )
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> first THEN first END AS refers_to FROM g
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,8 +86,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_best_fit_packing": op7_best_fit_packing, "op6_secret_scan": op6_secret_scan, "op8_quality_rules": op8_quality_rules, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_warc": op3_warc, "op4_exact_dedup": op4_exact_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_best_fit_packing": op7_best_fit_packing, "op6_secret_scan": op6_secret_scan, "op8_quality_rules": op8_quality_rules, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL}
