@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, warc
+from . import bpe, classifier, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, secrets, warc
 from .common import shared_dir, table
 
 
@@ -77,6 +77,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop=("text", "lang"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), drop=("html",))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -86,7 +90,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_warc": op3_warc, "op4_exact_dedup": op4_exact_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_best_fit_packing": op7_best_fit_packing, "op6_secret_scan": op6_secret_scan, "op8_quality_rules": op8_quality_rules, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_warc": op3_warc, "op4_exact_dedup": op4_exact_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_best_fit_packing": op7_best_fit_packing, "op6_secret_scan": op6_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
