@@ -6,8 +6,8 @@ the classes that share a token of their prefixes - stay small. In each block a t
 nodes hold the OR of their members' token bitmaps, the size range and the least number of set bits, and a
 dual traversal drops node pairs whose maximum possible overlap is too small. Of the pairs that are left only
 those that connect something new in the block are emitted, and are checked on the sets; a block where a check fails is
-traversed again without that pair, until none fails. So no link between components is missed, and no block
-emits more pairs than members in a round.
+traversed again without that pair, and with TRIES more pairs a member, until none fails. So no link between
+components is missed, and a block's pairs in a round are in proportion to its members.
 
 Defined results: null, empty and white-space texts have an empty set (n_shingles 0) and link with nothing; a text
 of fewer words than n has one shingle, the whole sequence; repeated rows are linked; null doc_ids are dropped from
@@ -32,6 +32,8 @@ MOST_FREQUENT, LEAST = 1 << 18, 24
 #: Members of a block at once; a larger block is dealt in pairs of parts.
 PART = 4096
 LEAF = 8
+#: Pairs of a member that a round tries beside those that connect something.
+TRIES = 32
 #: Most members of a block whose pairs are held against the positions of its token.
 MATRIX = 256
 
@@ -60,8 +62,8 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def width(size: int) -> int:
-    """Bits of a bitmap: four to eight for each token."""
-    return max(256, 4 << max(size - 1, 0).bit_length())
+    """Bits of a bitmap: eight to sixteen for each token."""
+    return max(256, 8 << max(size - 1, 0).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -146,9 +148,11 @@ def tree_pairs(sizes: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tu
 def connect(sizes: np.ndarray, maps: list[np.ndarray], percent: int, linked: list[tuple[int, int]], failed: set[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs that may link and connect members of a block that linked doesn't connect yet."""
     n = len(sizes)
-    forest, out = Forest(n), []
+    forest, known, out = Forest(n), Forest(n), []
     for a, b in linked:
         forest.join(a, b)
+        known.join(a, b)
+    roots, tries = known.flat(), [TRIES if failed else 0] * n
     wide = np.array([m.size for m in maps])
     for w in np.unique(wide):
         own = np.flatnonzero((wide == w) | (wide == 2 * w))
@@ -156,11 +160,13 @@ def connect(sizes: np.ndarray, maps: list[np.ndarray], percent: int, linked: lis
         bits = np.array([maps[i] if wide[i] == w else maps[i][:w] | maps[i][w:] for i in own])
         for a, b in tree_pairs(sizes[own], bits, percent):
             a, b = own[a], own[b]
-            roots = forest.flat()
-            new = roots[a] != roots[b]
+            now = roots if failed else forest.flat()
+            new = now[a] != now[b]
             for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
-                if (min(x, y), max(x, y)) not in failed and forest.join(x, y):
+                if (min(x, y), max(x, y)) not in failed and (forest.join(x, y) or tries[x] > 0 or tries[y] > 0):
                     out.append((x, y))
+                    tries[x] -= 1
+                    tries[y] -= 1
     return out
 
 
