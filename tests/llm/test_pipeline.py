@@ -1,0 +1,22 @@
+"""Each stage on its own input, and the whole."""
+
+import os
+
+import pytest
+
+import corpus_pipeline as cp
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.materialize(stage(spark, docs, SF), name)
+        assert docs.columns == columns and 0 < docs.count() <= before
+        before = docs.count()
+    packed = cp.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == before
+    assert cp.run(spark, SF).count() == packed.count()
