@@ -152,7 +152,7 @@ def connect(sizes: np.ndarray, maps: list[np.ndarray], percent: int, linked: lis
     for a, b in linked:
         forest.join(a, b)
         known.join(a, b)
-    roots, tries = known.flat(), [TRIES if failed else 0] * n
+    roots, tries = known.flat(), np.full(n, TRIES if failed else 0)
     wide = np.array([m.size for m in maps])
     for w in np.unique(wide):
         own = np.flatnonzero((wide == w) | (wide == 2 * w))
@@ -160,8 +160,8 @@ def connect(sizes: np.ndarray, maps: list[np.ndarray], percent: int, linked: lis
         bits = np.array([maps[i] if wide[i] == w else maps[i][:w] | maps[i][w:] for i in own])
         for a, b in tree_pairs(sizes[own], bits, percent):
             a, b = own[a], own[b]
-            now = roots if failed else forest.flat()
-            new = now[a] != now[b]
+            now = forest.flat()
+            new = (now[a] != now[b]) | (roots[a] != roots[b]) & ((tries[a] > 0) | (tries[b] > 0))
             for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
                 if (min(x, y), max(x, y)) not in failed and (forest.join(x, y) or tries[x] > 0 or tries[y] > 0):
                     out.append((x, y))
