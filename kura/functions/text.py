@@ -7,15 +7,16 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(text: pd.Series) -> pd.Series:
     """NFKC, white space collapsed; null stays null."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_key(text: pd.Series) -> pd.Series:
     """normalize_text and full case folding, for keys that are joined on."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
