@@ -3,8 +3,9 @@
 A document's set is its distinct word n-grams. Documents with equal sets are one class. Sets that link share one of
 their first tokens in any common order (prefix filter); tokens that are frequent come last in the order, so blocks -
 the classes that share a token of their prefixes - stay small. In each block a tree is built over the classes, ordered by size:
-nodes hold the OR of their members' token bitmaps, the size range and the least number of set bits, and a
-dual traversal drops node pairs whose maximum possible overlap is too small. Of the pairs that are left only
+nodes hold the OR of their members' token bitmaps, the size range and the most tokens without a bit of their own, and a
+dual traversal drops node pairs whose maximum possible overlap is too small. Bitmaps are laid out in the block, over
+the token fingerprints that two or more members hold, so that near misses are told apart there. Of the pairs that are left only
 those that connect something new in the block are emitted, and are checked on the sets; a block where a check fails is
 traversed again without that pair, and with TRIES more pairs a member, until none fails. So no link between
 components is missed, and a block's pairs in a round are in proportion to its members.
@@ -31,6 +32,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 MOST_FREQUENT, LEAST = 1 << 18, 24
 #: Members of a block at once; a larger block is dealt in pairs of parts.
 PART = 4096
+#: Largest set whose tokens are sent to blocks as 16 bits each; bytes of the bitmaps of a block's members.
+NARROW, ROOM = 512, 64 << 20
 LEAF = 8
 #: Pairs of a member that a round tries beside those that connect something.
 TRIES = 32
@@ -61,15 +64,29 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
-def width(size: int) -> int:
-    """Bits of a bitmap: eight to sixteen for each token."""
-    return max(256, 8 << max(size - 1, 0).bit_length())
+def prints(tokens: np.ndarray) -> bytes:
+    """Fingerprints of a set: the low 16 bits of each token up to NARROW tokens, else 32 bits."""
+    return tokens.astype(np.uint16 if tokens.size <= NARROW else np.uint32).tobytes()
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(width(tokens.size), bool)
-    bits[(tokens & np.uint64(bits.size - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bits for each set over the fingerprints that two or more sets hold, and how many of a set's tokens
+    have no bit of their own. An overlap is at most the common bits plus the lesser of these counts."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [x.size for x in sets])
+    words, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often > 1
+    at = (np.cumsum(shared) - 1)[place]
+    held = shared[place]
+    owner, at = owner[held], at[held]
+    # wide enough for a bit each, but no wider than ROOM bytes for all sets allow; then bits are shared
+    bits = 64 * max(1, min(-(-int(shared.sum()) // 64), ROOM // (8 * len(sets))))
+    rows = np.zeros((len(sets), bits // 8), np.uint8)
+    at = at % bits
+    np.bitwise_or.at(rows, (owner, at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+    rows = rows.view(np.uint64)
+    spare = np.bincount(owner, minlength=len(sets)) - np.bitwise_count(rows).sum(1, dtype=np.int64)
+    return rows, spare
 
 
 class Forest:
@@ -108,34 +125,31 @@ def children(left: np.ndarray, right: np.ndarray, many: int, same: np.ndarray) -
     return a[ok], b[ok]
 
 
-def tree_pairs(sizes: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(sizes: np.ndarray, bits: np.ndarray, spare: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Member pairs that may link, from a dual traversal; members are ordered by size, bits has a row for each."""
-    levels = [(bits, sizes, sizes, np.bitwise_count(bits).sum(1, dtype=np.int64))]
+    levels = [(bits, sizes, sizes, spare)]
     while len(levels[-1][1]) > LEAF:
-        ors, low, high, least = levels[-1]
+        ors, low, high, most = levels[-1]
         cuts = np.arange(0, len(low), LEAF)
-        levels.append((np.bitwise_or.reduceat(ors, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.minimum.reduceat(least, cuts)))
+        levels.append((np.bitwise_or.reduceat(ors, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(most, cuts)))
     top = len(levels[-1][1])
     a, b = np.triu_indices(top)
     todo = [(len(levels) - 1, a, b)]
     while todo:
         level, a, b = todo.pop()
-        limit = max(64, (1 << 18) // bits.shape[1])
+        limit = max(64, (1 << 20) // bits.shape[1])
         if a.size > limit:
-            todo += [(level, a[limit:], b[limit:])]
+            todo.append((level, a[limit:], b[limit:]))
             a, b = a[:limit], b[:limit]
-        ors, low, high, least = levels[level]
+        ors, low, high, most = levels[level]
         if level == 0:
             a, b = a[a < b], b[a < b]
         fits = 100 * np.minimum(high[a], high[b]) >= percent * np.maximum(low[a], low[b])
         a, b = a[fits], b[fits]
         if not a.size:
             continue
-        common = np.bitwise_count(ors[a] & ors[b]).sum(1, dtype=np.int64)
-        # bits that a member has and the other node lacks are tokens that it can't share
-        most = np.minimum(high[a] - least[a], high[b] - least[b]) + common
-        most = np.minimum(most, np.minimum(high[a] - np.maximum(least[a] - common, 0), high[b] - np.maximum(least[b] - common, 0)))
-        fits = most >= need(low[a], low[b], percent)
+        overlap = np.bitwise_count(ors[a] & ors[b]).sum(1, dtype=np.int64) + np.minimum(most[a], most[b])
+        fits = overlap >= need(low[a], low[b], percent)
         a, b = a[fits], b[fits]
         if not a.size:
             continue
@@ -145,20 +159,22 @@ def tree_pairs(sizes: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tu
             todo.append((level - 1, *children(a, b, len(levels[level - 1][1]), a == b)))
 
 
-def connect(sizes: np.ndarray, maps: list[np.ndarray], percent: int, linked: list[tuple[int, int]], failed: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs that may link and connect members of a block that linked doesn't connect yet."""
+def connect(sizes: np.ndarray, sets: list[np.ndarray], percent: int, linked: list[tuple[int, int]], failed: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs that may link and connect members of a block that linked doesn't connect yet; sets has fingerprints."""
     n = len(sizes)
     forest, known, out = Forest(n), Forest(n), []
     for a, b in linked:
         forest.join(a, b)
         known.join(a, b)
     roots, tries = known.flat(), np.full(n, TRIES if failed else 0)
-    wide = np.array([m.size for m in maps])
-    for w in np.unique(wide):
-        own = np.flatnonzero((wide == w) | (wide == 2 * w))
+    wide = sizes > NARROW
+    # narrow sets meet each other and such wide ones as may link with them in 16 bits, wide ones meet in 32
+    for own, kind in ((~wide | (percent * sizes <= 100 * NARROW), np.uint16), (wide, np.uint32)):
+        own = np.flatnonzero(own)
+        if own.size < 2:
+            continue
         own = own[np.argsort(sizes[own], kind="stable")]
-        bits = np.array([maps[i] if wide[i] == w else maps[i][:w] | maps[i][w:] for i in own])
-        for a, b in tree_pairs(sizes[own], bits, percent):
+        for a, b in tree_pairs(sizes[own], *bitmaps([sets[i].astype(kind) for i in own]), percent):
             a, b = own[a], own[b]
             now = forest.flat()
             new = (now[a] != now[b]) | (roots[a] != roots[b]) & ((tries[a] > 0) | (tries[b] > 0))
@@ -171,8 +187,8 @@ def connect(sizes: np.ndarray, maps: list[np.ndarray], percent: int, linked: lis
 
 
 def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
-    """doc_id, size, key, prefix; with heavy, a broadcast sorted array of frequent tokens, also bits."""
-    fields = "doc_id long, size long, key long, key2 long, prefix array<long>" + (", bits binary" if heavy else "")
+    """doc_id, size, key, prefix; with heavy, a broadcast sorted array of frequent tokens, also fingerprints."""
+    fields = "doc_id long, size long, key long, key2 long, prefix array<long>" + (", prints binary" if heavy else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = heavy.value if heavy else None
@@ -189,7 +205,7 @@ def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
                         at = np.searchsorted(frequent, s)
                         is_heavy = frequent[np.minimum(at, frequent.size - 1)] == s if frequent.size else np.zeros(s.size, bool)
                         order = np.concatenate([s[~is_heavy], s[is_heavy]])
-                        out[4].append(bitmap(s).tobytes())
+                        out[4].append(prints(s))
                     elif frequent is not None:
                         out[4].append(b"")
                     for o, v in zip(out, (s.size, digest[0], digest[1], order[:p].view(np.int64)), strict=False):
@@ -197,7 +213,7 @@ def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
                 arrays = [batch["doc_id"], *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.list_(pa.int64()))]
                 names = ["doc_id", "size", "key", "key2", "prefix"]
                 if heavy:
-                    arrays, names = [*arrays, pa.array(out[4], pa.binary())], [*names, "bits"]
+                    arrays, names = [*arrays, pa.array(out[4], pa.binary())], [*names, "prints"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.mapInArrow(run, fields)
@@ -269,9 +285,9 @@ def blocks(profiles: DataFrame, percent: int) -> DataFrame:
 
 def candidates(members: DataFrame, classes: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
     """block, a, b: pairs of keys to check."""
-    rows = members.join(classes.select("key", "size", "bits"), "key").select("block", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "size", "bits", F.lit(None).cast("boolean").alias("linked"))
+    rows = members.join(classes.select("key", "size", "prints"), "key").select("block", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "size", "prints", F.lit(None).cast("boolean").alias("linked"))
     if tried is not None:
-        rows = rows.unionByName(tried.select("block", "a", "b", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("bits"), "linked"))
+        rows = rows.unionByName(tried.select("block", "a", "b", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("prints"), "linked"))
 
     def run(group: pa.Table) -> pa.Table:
         pair = group["b"].is_valid().to_numpy()
@@ -280,13 +296,13 @@ def candidates(members: DataFrame, classes: DataFrame, tried: DataFrame | None,
         order = np.argsort(key, kind="stable")
         key = key[order]
         sizes = here["size"].to_numpy()[order]
-        maps = [np.frombuffer(m, np.uint64) for m in here["bits"].take(pa.array(order)).to_pylist()]
+        sets = [np.frombuffer(m, np.uint16 if n <= NARROW else np.uint32) for m, n in zip(here["prints"].take(pa.array(order)).to_pylist(), sizes.tolist(), strict=True)]
         old = group.filter(pa.array(pair))
         a, b = (np.searchsorted(key, old[c].to_numpy()).tolist() for c in ("a", "b"))
         ok = old["linked"].to_pylist()
         linked = [p for p, o in zip(zip(a, b, strict=True), ok, strict=True) if o]
         failed = {(min(p), max(p)) for p, o in zip(zip(a, b, strict=True), ok, strict=True) if not o}
-        pairs = connect(sizes, maps, percent, linked, failed)
+        pairs = connect(sizes, sets, percent, linked, failed)
         x, y = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
         block = group["block"][0].as_py()
         return pa.table({"block": np.full(x.size, block, np.int64), "a": np.minimum(key[x], key[y]), "b": np.maximum(key[x], key[y])})
@@ -352,7 +368,7 @@ def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int =
     profiles = materialize(profile(docs, n, percent, spark.sparkContext.broadcast(heavy)).where("size > 0 and doc_id is not null"), "ngram-profiles")
     members = materialize(blocks(profiles, percent), "ngram-blocks")
     used = members.select("key").distinct().join(classes.select("key", "doc_id"), "key")
-    owned = materialize(profiles.select("doc_id", "size", "bits").join(used, "doc_id").dropDuplicates(["doc_id"]), "ngram-bitmaps")
+    owned = materialize(profiles.select("doc_id", "size", "prints").join(used, "doc_id").dropDuplicates(["doc_id"]), "ngram-prints")
     release(profiles)
     links, tried, todo = None, None, members
     while True:
