@@ -49,6 +49,11 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished plans now; it learns of them when the driver's heap is collected."""
+    spark._jvm.System.gc()
+
+
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about CHUNK_BYTES of text each (one text may be longer)."""
     if batch.num_rows == 0:

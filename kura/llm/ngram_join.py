@@ -25,15 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, release, texts_of
+from .common import chunks, materialize, release, texts_of, tidy
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: At most so many frequent tokens are sent to all tasks; with fewer than LEAST rows a token isn't frequent.
 MOST_FREQUENT, LEAST = 1 << 18, 24
 #: Members of a block at once; a larger block is dealt in pairs of parts.
 PART = 4096
-#: Largest set whose tokens are sent to blocks as 16 bits each; bytes of the bitmaps of a block's members.
-NARROW, ROOM = 512, 64 << 20
+#: Bytes of the bitmaps of a block's members.
+ROOM = 64 << 20
 LEAF = 8
 #: Pairs of a member that a round tries beside those that connect something.
 TRIES = 32
@@ -64,9 +64,23 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
+def width(size: int) -> int:
+    """Bits of a set's fingerprints: a range of 64 to 128 times its size."""
+    return max(size - 1, 3).bit_length() + 6
+
+
 def prints(tokens: np.ndarray) -> bytes:
-    """Fingerprints of a set: the low 16 bits of each token up to NARROW tokens, else 32 bits."""
-    return tokens.astype(np.uint16 if tokens.size <= NARROW else np.uint32).tobytes()
+    """The fingerprints, low bits of the tokens, in order: gaps in a byte each, with 255 for every 255 passed over."""
+    low = np.sort((tokens & np.uint64((1 << width(tokens.size)) - 1)).astype(np.int64))
+    over, rest = np.divmod(np.diff(low, prepend=0), 255)
+    out = np.full(low.size + int(over.sum()), 255, np.uint8)
+    out[np.cumsum(over + 1) - 1] = rest
+    return out.tobytes()
+
+
+def fingerprints(coded: bytes) -> np.ndarray:
+    gaps = np.frombuffer(coded, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
 
 
 def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,14 +181,14 @@ def connect(sizes: np.ndarray, sets: list[np.ndarray], percent: int, linked: lis
         forest.join(a, b)
         known.join(a, b)
     roots, tries = known.flat(), np.full(n, TRIES if failed else 0)
-    wide = sizes > NARROW
-    # narrow sets meet each other and such wide ones as may link with them in 16 bits, wide ones meet in 32
-    for own, kind in ((~wide | (percent * sizes <= 100 * NARROW), np.uint16), (wide, np.uint32)):
-        own = np.flatnonzero(own)
+    wide = np.array([width(z) for z in sizes.tolist()])
+    reach = (-(-100 // percent) - 1).bit_length()  # bits by which sizes that link may differ
+    for w in np.unique(wide).tolist():
+        own = np.flatnonzero((wide >= w) & (wide <= w + reach))
         if own.size < 2:
             continue
         own = own[np.argsort(sizes[own], kind="stable")]
-        for a, b in tree_pairs(sizes[own], *bitmaps([sets[i].astype(kind) for i in own]), percent):
+        for a, b in tree_pairs(sizes[own], *bitmaps([sets[i] & ((1 << w) - 1) for i in own]), percent):
             a, b = own[a], own[b]
             now = forest.flat()
             new = (now[a] != now[b]) | (roots[a] != roots[b]) & ((tries[a] > 0) | (tries[b] > 0))
@@ -296,7 +310,7 @@ def candidates(members: DataFrame, classes: DataFrame, tried: DataFrame | None,
         order = np.argsort(key, kind="stable")
         key = key[order]
         sizes = here["size"].to_numpy()[order]
-        sets = [np.frombuffer(m, np.uint16 if n <= NARROW else np.uint32) for m, n in zip(here["prints"].take(pa.array(order)).to_pylist(), sizes.tolist(), strict=True)]
+        sets = [fingerprints(m) for m in here["prints"].take(pa.array(order)).to_pylist()]
         old = group.filter(pa.array(pair))
         a, b = (np.searchsorted(key, old[c].to_numpy()).tolist() for c in ("a", "b"))
         ok = old["linked"].to_pylist()
@@ -370,9 +384,11 @@ def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int =
     used = members.select("key").distinct().join(classes.select("key", "doc_id"), "key")
     owned = materialize(profiles.select("doc_id", "size", "prints").join(used, "doc_id").dropDuplicates(["doc_id"]), "ngram-prints")
     release(profiles)
+    tidy(spark)
     links, tried, todo = None, None, members
     while True:
         pairs = materialize(candidates(todo, owned, tried, percent), "ngram-pairs")
+        tidy(spark)
         once = pairs.select("a", "b").distinct()
         ids = once.select(F.col("a").alias("key")).union(once.select(F.col("b").alias("key"))).distinct().join(classes.select("key", "doc_id"), "key")
         texts = materialize(docs.join(ids, "doc_id").dropDuplicates(["key"]).select("key", "text"), "ngram-texts")
