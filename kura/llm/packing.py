@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import ForestBPE
-from .common import Memo, chunks, materialize, texts_of
+from .common import Memo, chunks, materialize
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 2048
@@ -86,9 +86,14 @@ def word_ids(path: str) -> Memo:
 
     def learn(words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
-        easy = [w for w, word in enumerate(words) if plain(word)]
-        rest = [w for w, word in enumerate(words) if not plain(word)]
-        cuts = [CUT(words[w].lower()) for w in easy]
+        easy, rest, cuts = [], [], []
+        for w, word in enumerate(words):
+            if plain(word):
+                easy.append(w)
+                low = word.lower()
+                cuts.append([low] if low.isalpha() else CUT(low))
+            elif word:
+                rest.append(w)
         get = pieces.learn(cuts)
         for w, cut in zip(easy, cuts, strict=True):
             out[w] = b"".join(map(get, cut))
@@ -99,6 +104,22 @@ def word_ids(path: str) -> Memo:
     return Memo(learn)
 
 
+def ids_of(texts: pa.Array, memo: Memo) -> tuple[np.ndarray, list[int]]:
+    """The ids of all texts on end, and where each text begins and the last one ends. Each distinct word is looked up
+    once; its ids are then gathered for every place it has."""
+    words = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    found = list(map(memo.learn([distinct]), distinct))
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    values, index = np.frombuffer(b"".join(found), np.int32), coded.indices.to_numpy()
+    many = sizes[index]
+    past = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])
+    ids = values[np.repeat((np.cumsum(sizes) - sizes)[index] - past[:-1], many) + np.arange(past[-1])]
+    offsets = words.offsets.to_numpy()
+    return ids, past[offsets - offsets[0]].tolist()
+
+
 def pieces(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
     """The pieces of every row, each with its rank (turn) among the pieces of its length in its task (part)."""
 
@@ -107,10 +128,10 @@ def pieces(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", capaci
         end = np.array([END], np.int32).tobytes()
         for whole in batches:
             for batch in chunks(whole, "text"):
-                words = [t.encode().split() for t in texts_of(batch, "text")]
-                get, rows = memo.learn(words), []
-                for doc, some in zip(batch["doc_id"].to_pylist(), words, strict=True):
-                    raw = b"".join(map(get, some)) + end
+                ids, bounds = ids_of(batch["text"], memo)
+                rows = []
+                for doc, first, past in zip(batch["doc_id"].to_pylist(), bounds, bounds[1:], strict=False):
+                    raw = ids[first:past].tobytes() + end
                     for piece, a in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[a : a + 4 * capacity]
                         n = len(own) // 4
