@@ -86,13 +86,13 @@ def _timed(t):
 
 @query(None)
 def rate_limit(t):
-    return folds.sliding_window(_timed(t), ["event_type"], ["at", "event_id"], "at", 20, 3600).select("event_id", "retry_after")
+    return folds.sliding_window(_timed(t), ["event_type"], ["at", "event_id"], "at", 20, 86400).select("event_id", "retry_after")
 
 
 @query(None)
 def read_budget(t):
     rows = _timed(t).withColumn("cost", (F.col("event_id") % 3 + 1).cast("long"))
-    return folds.budget_window(rows, ["event_type"], ["at", "event_id"], "at", "cost", 60, 3600, 60).select("event_id", "retry_after")
+    return folds.budget_window(rows, ["event_type"], ["at", "event_id"], "at", "cost", 60, 86400, 3600).select("event_id", "retry_after")
 
 
 @query(None)
