@@ -1,14 +1,18 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by shared blocks, equal to aligning every pair of documents.
 
-Documents overlap where they share a line. Every line names the first document that holds it (least doc_id, then
-position) as partner of all later holders, so a line that a third of all documents share costs one row for
-each and no pairs among them; no line is too frequent to count. A line is rare evidence when it is long: short ones
-are aligned too but only delete as part of a block of at least min_words words. Each pair is aligned by
-patience diff: lines that occur once in the later document are anchors, the longest increasing run of their
-partners' positions is kept, other shared lines join it where they extend a run on both sides; what is left over is aligned
-again, which finds moved blocks. Aligned blocks are deleted from the later document.
+A block is a run of consecutive lines. A line goes when it lies in a block of at least min_words words that an earlier
+document (lesser doc_id) holds too, at any place; so a document is held against all earlier ones, and every place of a
+repeated line counts. A document of fewer words goes when an earlier one has exactly its lines.
 
-Lines are compared without white space at either end, by 128 bits of hash; empty lines count for nothing.
+No pair is laid out for it. Each document names its least blocks: from every line on, and back from every line, as many
+lines as min_words words take. A line of a shared block of min_words words always lies in a least block inside of it (back
+from the line if the words before it suffice, else on from the block's first line), so the lines of the least blocks that
+an earlier document has are all lines that go. Each block names the least document that has it, so a block that a third of
+all documents share costs one row for each and no pairs among them; no line or block is too frequent to count.
+
+align and doomed are patience alignment of one pair; tests hold the operator against them over all pairs.
+
+Lines are compared without white space at either end, blocks by 128 bits of hash; empty lines count for nothing.
 
 Defined results: null texts stay null; empty texts and null doc_ids stay as they are; rows with the same doc_id
 are taken as one document; lines repeated inside one document only are kept; other columns pass through.
@@ -19,12 +23,16 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WHITE as WHITE_BYTES
+from .common import chunks
+
 #: Words of the smallest block that is deleted.
 MIN_WORDS = 25
 WHITE = "\x20\t\n\x0b\x0c\r"
@@ -90,36 +98,63 @@ def doomed(lines: list[Line], min_words: int) -> list[int]:
     return out
 
 
-def shared_lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc, pos, line, words, partner, partner_pos of each line that an earlier document holds. pos counts lines with words."""
-    clean = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(x, F.lit(WHITE))), lambda x: x != "")
-    lines = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(clean).alias("pos", "body"))
-    lines = lines.select("doc", "pos", F.xxhash64(F.lit(1), "body").alias("line"), F.xxhash64(F.lit(2), "body").alias("line2"), F.size(F.split("body", "[ \\t\\x0b\\f\\r]+")).alias("words"))
-    first = lines.groupBy("line", "line2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).where("last <> first.doc")
-    return lines.join(first, ["line", "line2"]).where("doc > first.doc").select("doc", "pos", "line", "words", F.col("first.doc").alias("partner"), F.col("first.pos").alias("partner_pos"))
+def least_blocks(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """First and last line of the blocks that take the fewest lines for min_words words, from each line on and back from each."""
+    out, least, n = set(), max(1, min_words), len(words)
+    end = total = 0
+    for start in range(n):
+        while total < least and end < n:
+            total += words[end]
+            end += 1
+        if total < least:
+            break
+        out.add((start, end - 1))
+        total -= words[start]
+    start = total = 0
+    for end in range(n):
+        total += words[end]
+        while total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least:
+            out.add((start, end))
+    return out
 
 
-def deletions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc and the positions, among its lines with words, that go."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*(b[c].to_pylist() for c in ("doc", "partner", "pos", "partner_pos", "line", "words")), strict=True)
+def blocks(df: DataFrame, text_col: str, id_col: str, min_words: int) -> DataFrame:
+    """doc, start, stop, key, key2 of each least block; of a text of fewer words, of the whole. Lines without words don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, gone = [], []
-        for doc, own in groupby(rows(batches), key=lambda r: r[0]):
-            cut = {p for _, pair in groupby(own, key=lambda r: r[1]) for p in doomed(list({r[2:] for r in pair}), min_words)}
-            if cut:
-                docs.append(doc)
-                gone.append(sorted(cut))
-            if len(docs) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
-                docs, gone = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
-
-    found = shared_lines(df, text_col, id_col)
-    return found.repartition("doc").sortWithinPartitions("doc", "partner", "pos").mapInArrow(run, "doc long, gone array<int>")
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                docs, starts, stops, keys = [], [], [], []
+                for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    lines = [x for x in (y.strip(WHITE_BYTES) for y in text.encode().split(b"\n")) if x]
+                    words = [len(x.split()) for x in lines]
+                    marks = [blake2b(x, digest_size=16).digest() for x in lines]
+                    found, kind = least_blocks(words, min_words), b"block"
+                    if lines and not found:
+                        found, kind = {(0, len(lines) - 1)}, b"whole"
+                    for start, stop in found:
+                        docs.append(doc)
+                        starts.append(start)
+                        stops.append(stop)
+                        keys.append(blake2b(b"".join(marks[start : stop + 1]), digest_size=16, person=kind).digest())
+                key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "start", "stop", "key", "key2"])
+
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc long, start int, stop int, key long, key2 long")
+
+
+def deletions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc and the positions, among its lines with words, that go."""
+    own = blocks(df, text_col, id_col, min_words)
+    first = own.groupBy("key", "key2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last <> first").drop("last")
+    shared = own.join(first, ["key", "key2"]).where("doc > first")
+    spans = F.collect_list(F.sequence("start", "stop"))
+    return shared.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("gone"))
 
 
 def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, removed_col: str = "n_removed") -> DataFrame:

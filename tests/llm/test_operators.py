@@ -170,6 +170,46 @@ def test_line_dedup(spark):
     assert kept == {1, 2, 3, 5, 6}
 
 
+def brute_line_dedup(rows, least):
+    """Lines in common runs of least words with any earlier document, and copies of shorter ones."""
+    texts = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in rows}
+    gone = {}
+    for b, late in texts.items():
+        cut = set()
+        for a, early in texts.items():
+            if a >= b:
+                continue
+            if late == early:
+                cut |= set(range(len(late)))
+            for p in range(len(late)):
+                for q in range(len(early)):
+                    n = 0
+                    while p + n < len(late) and q + n < len(early) and late[p + n] == early[q + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in late[p : p + n]) >= least:
+                        cut |= set(range(p, p + n))
+            # what patience alignment of the pair finds is part of it
+            often = [(p, q, hash(x), len(x.split())) for p, x in enumerate(late) for q, y in enumerate(early) if x == y]
+            assert set(line_dedup.doomed(often, least)) <= cut
+        gone[b] = cut
+    return gone
+
+
+def test_line_dedup_misses_no_block(spark):
+    lines = [prose(10) for _ in range(8)]
+    a, b = lines[:4], [lines[0], lines[1], lines[4], lines[3]]
+    x, y, z = lines[5:]
+    rows = [(1, a), (2, b), (3, b), (4, [x, "---", y, "---", z]), (5, [x, "---", y, "---", z]), (6, ["tiny one"]), (7, ["tiny one"])]
+    rows = [(i, "\n".join(t)) for i, t in rows]
+    pool = [prose(n) for n in (1, 2, 3, 5, 9, 14, 26)] + ["---"]
+    rows += [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(8, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc: set(r.gone) for r in line_dedup.deletions(df).collect()}
+    assert got == {i: c for i, c in brute_line_dedup(rows, 25).items() if c}
+    assert got[3] == set(range(4)) and got[5] == set(range(5)) and got[7] == {0} and 2 not in got
+    assert {3, 5, 7}.isdisjoint(r.doc_id for r in line_dedup.keep_rest(df).collect())
+
+
 def test_patience_keeps_order():
     lines = [(0, 2, 10, 5), (1, 3, 11, 5), (2, 0, 12, 5)]
     assert line_dedup.align(lines) == lines[:2]
