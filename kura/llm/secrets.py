@@ -15,6 +15,7 @@ outputs' names are replaced.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ KINDS = ("assign", "access", "hex", "paired", "endpoint")
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-RANDOM = re.compile(rb"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=])")
+RANDOM = re.compile(rb"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(rb"(?:https?|wss?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9_.:@/-]*[A-Za-z0-9_/-]")
 #: Characters on either side of a part in which its complement is looked for.
 REACH = 200
@@ -36,13 +37,10 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 
 
 def near(parts: list[tuple[int, int]], start: int, end: int, breaks: list[int]) -> bool:
-    """Whether some part lies in the scope of start:end: within REACH, and in the same paragraph block."""
+    """Whether some part lies in the scope of start:end: within REACH, or in the same paragraph block."""
     block = bisect_left(breaks, start)
-    low, high = start - REACH, end + REACH
-    if block:
-        low = max(low, breaks[block - 1])
-    if block < len(breaks):
-        high = min(high, breaks[block])
+    low = min(start - REACH, breaks[block - 1] if block else 0)
+    high = max(end + REACH, breaks[block]) if block < len(breaks) else sys.maxsize
     at = bisect_left(parts, (low, 0))
     while at < len(parts) and parts[at][0] < high:
         if parts[at][1] <= high and (parts[at][1] <= start or parts[at][0] >= end):
