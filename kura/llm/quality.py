@@ -2,7 +2,9 @@
 
 A public subword vocabulary with byte fallback reads every word. Natural prose of a language has characters per
 token, a byte-fallback share and an entropy of its token distribution inside a band; junk (symbol runs, random
-strings, one phrase over and over) falls outside. Texts of an unknown language take the band of their script.
+strings, one phrase over and over) falls outside. The bands are wide enough for ordinary prose of each script; fit()
+raises the least characters a token of a language to what all of a table's documents in it bear out. Language tags are
+taken by their first part in any case (EN, en-US); texts of another or no tag take the band of their script.
 
 Defined results: null and empty texts measure zero everywhere, have n_words 0 and so fail the base rule; equal
 rows are measured alike and all kept or all rejected; existing columns of the outputs' names are replaced.
@@ -27,16 +29,15 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SYMBOLS = b"#*$%&|<>"
 #: Shortest text in tokens whose entropy is judged; below it the measure says little.
 ENTROPY_TOKENS = 50
-#: Rejection bands: least and most characters a token, most byte-fallback share, least and most token entropy in bits.
-#: The four languages' bands lie just outside the range of rows labelled good that pass the base rule.
-BANDS = {
-    "en": (1.95, 2.9, 0.02, 5.5, 11.5),
-    "de": (2.08, 2.9, 0.02, 5.5, 11.5),
-    "fr": (1.82, 2.9, 0.02, 5.5, 11.5),
-    "es": (1.80, 2.9, 0.02, 5.5, 11.5),
-    "latin": (1.4, 6.0, 0.10, 3.0, 12.5),
-    "other": (0.2, 6.0, 1.00, 2.0, 13.5),
-}
+#: Wide bands by script: least and most characters a token, most byte-fallback share, least and most token entropy in bits.
+Band = tuple[float, float, float, float, float]
+BANDS: dict[str, Band] = {"latin": (1.4, 6.0, 0.10, 3.0, 12.5), "other": (0.2, 6.0, 1.00, 2.0, 13.5)}
+#: Languages in Latin script whose least characters a token is fitted, from so many documents on that pass the base rule.
+FITTED, LEAST_ROWS = ("en", "de", "fr", "es"), 200
+#: Distance of the fitted bound below the median, in distances from the lower quartile to the median.
+QUARTILES = 7
+#: Highest fitted bound: ordinary prose of the four languages has 2.8 to 4.5 characters a token.
+HIGHEST_LOW = 2.5
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 
 FIELDS = [
@@ -92,11 +93,16 @@ def base(text: str, words: list[bytes], raw: bytes) -> tuple[int, int, int, int]
     return word_chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def band(lang: str | None, text: str) -> tuple[float, float, float, float, float]:
+def tag(lang: str | None) -> str | None:
+    """The language of a tag: its first part, in lower case."""
+    return lang and re.split("[-_]", lang.strip().lower())[0]
+
+
+def band(lang: str | None, text: str, bands: dict[str, Band] = BANDS) -> Band:
     """The band of the language; else that of the script of most letters."""
-    if lang in BANDS:
-        return BANDS[lang]
-    return BANDS["latin" if 2 * len(LATIN.findall(text)) >= sum(map(str.isalpha, text)) else "other"]
+    if (own := tag(lang)) in bands:
+        return bands[own]
+    return bands["latin" if 2 * len(LATIN.findall(text)) >= sum(map(str.isalpha, text)) else "other"]
 
 
 def fertility(ids: np.ndarray, word_chars: int, bytes_at: tuple[int, int]) -> tuple[float, float, float]:
@@ -110,7 +116,7 @@ def fertility(ids: np.ndarray, word_chars: int, bytes_at: tuple[int, int]) -> tu
     return word_chars / n, float(share), max(0.0, float(-(p * np.log2(p)).sum()))
 
 
-def measure(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", path: str = VOCABULARY, min_words: int = 50, max_repeat_percent: int = 50, drop: tuple[str, ...] = ()) -> DataFrame:
+def measure(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", path: str = VOCABULARY, min_words: int = 50, max_repeat_percent: int = 50, drop: tuple[str, ...] = (), bands: dict[str, Band] = BANDS) -> DataFrame:
     """df with FIELDS. lang_col may be None or absent: the band is then that of the script."""
     has_lang = lang_col in df.columns
 
@@ -130,7 +136,7 @@ def measure(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
                 failed = n < min_words or 100 * repeat > max_repeat_percent * n
                 ids = np.frombuffer(b"".join(map(get, words)), np.int32)
                 per_token, share, entropy = fertility(ids, word_chars, bytes_at)
-                low, high, most_bytes, calm, wild = band(lang, text)
+                low, high, most_bytes, calm, wild = band(lang, text, bands)
                 good = low <= per_token <= high and share <= most_bytes and (ids.size < ENTROPY_TOKENS or calm <= entropy <= wild)
                 rows.append((n, word_chars, symbols, dup_lines, repeat, failed, per_token, share, entropy, good and not failed))
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.bool_()]
@@ -141,8 +147,39 @@ def measure(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
     return with_columns(df, text_col, FIELDS, make, drop)
 
 
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> dict[str, Band]:
+    """BANDS and a band for each of FITTED, from all documents of df that pass the base rule. A text in Latin script without
+    such a language is held to the least of the fitted bounds. Counts are exact and in hundredths, so equal tables give equal bands."""
+    if lang_col not in df.columns:
+        return BANDS
+    known = BANDS | dict.fromkeys(FITTED, BANDS["latin"])  # verdicts are not used here, so no script need be found
+    measured = measure(df.select(text_col, lang_col), text_col, lang_col, drop=(text_col,), bands=known, **options).where("not base_failed")
+    own = F.split(F.lower(F.trim(lang_col)), "[-_]")[0]
+    counts = measured.groupBy(own.alias("own"), F.floor(F.col("chars_per_token") * 100).alias("bin")).count().where(F.col("own").isin(*FITTED))
+    bins: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.collect():
+        bins.setdefault(r["own"], []).append((r["bin"], r["count"]))
+    wide, out = BANDS["latin"], {}
+    for lang, some in bins.items():
+        values, sizes = np.array(sorted(some)).T
+        total = sizes.cumsum()
+        if total[-1] >= LEAST_ROWS:
+            quarter, half = (quantile(values, sizes, total, q) for q in (0.25, 0.5))
+            out[lang] = (round(min(HIGHEST_LOW, max(wide[0], half - QUARTILES * (half - quarter))), 4), *wide[1:])
+    least = min((b[0] for b in out.values()), default=wide[0])
+    return BANDS | {"latin": (least, *wide[1:])} | out
+
+
+def quantile(values: np.ndarray, sizes: np.ndarray, total: np.ndarray, q: float) -> float:
+    """The q-quantile of counted hundredths, in line between the ends of its bin."""
+    at = int(np.searchsorted(total, q * total[-1]))
+    return (float(values[at]) + float(q * total[-1] - total[at] + sizes[at]) / float(sizes[at])) / 100
+
+
 def keep_good(df: DataFrame, **options) -> DataFrame:
-    """The rows whose verdict is kept, with df's own columns only."""
+    """The rows whose verdict by df's own bands is kept, with df's own columns only."""
     held = "kura_input"
+    if "bands" not in options:
+        options["bands"] = fit(df, **options)
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(held), *[F.col(c) for c in ("text", "lang") if c in df.columns])
     return measure(whole, **options).where("kept").select(f"{held}.*")

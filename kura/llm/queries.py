@@ -74,7 +74,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop=("text", "lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.measure(docs, drop=("text", "lang"), bands=quality.fit(docs))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

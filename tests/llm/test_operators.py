@@ -167,6 +167,36 @@ def test_quality(spark, docs):
     assert (r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.kept) == (1, 1, 6, False)
 
 
+ENGLISH = """The city council voted on Tuesday to close two bridges over the river for repairs that are expected to last until spring.
+Engineers found cracks in several supports during a routine inspection last month, and officials said traffic would be
+sent through the northern districts. Local shop owners worry about losing customers, although the mayor promised that
+buses would run more often and that the work would be finished before the summer festival."""
+FRENCH = """Le conseil municipal a décidé mardi de fermer deux ponts sur le fleuve pour des travaux qui doivent durer jusqu'au
+printemps. Les ingénieurs ont trouvé des fissures dans plusieurs piliers pendant une inspection ordinaire le mois dernier, et
+la circulation passera par les quartiers du nord. Les commerçants craignent de perdre leurs clients, mais le maire promet
+que les autobus passeront plus souvent et que tout sera terminé avant la fête de l'été."""
+
+
+def test_quality_bands_of_all_documents(spark):
+    syllables = ["th", "er", "on", "ing", "ti", "ha", "nd", "ea", "ou", "re"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(200)), "en") for i in range(400)]
+    tags = ("en", "EN", "en-US", None, "fr")
+    rows += [(1000 + k, ENGLISH, t) for k, t in enumerate(tags)] + [(1100, FRENCH, "fr"), (1101, FRENCH, None)]
+    junk = " | | ".join(word() for _ in range(200))
+    rows += [(2000 + k, junk, t) for k, t in enumerate(tags)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bands = quality.fit(df)
+    assert bands == quality.fit(df.repartition(7)) and bands["en"][0] > quality.BANDS["latin"][0] and "fr" not in bands
+    out = {r.doc_id: r for r in quality.measure(df, bands=bands).collect()}
+    assert out[1000].chars_per_token > 2.9 and out[1100].chars_per_token > 2.9
+    assert all(out[i].kept for i in out if 1000 <= i < 2000) and sum(out[i].kept for i in range(400)) >= 396
+    assert not any(out[i].kept for i in out if i >= 2000)
+    kept = {r.doc_id for r in quality.keep_good(df).collect()}
+    assert kept == {i for i in out if out[i].kept}
+    assert quality.fit(df.where("doc_id >= 1000")) == quality.BANDS  # too few rows
+
+
 def test_line_dedup(spark):
     a, b, c = (prose(30) for _ in range(3))
     short = "short shared line"
