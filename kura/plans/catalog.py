@@ -65,15 +65,31 @@ def group_total(t):
     return t("part").select("p_brand", "p_type").distinct().agg(F.count(F.lit(1)).alias("groups"))
 
 
+def _same_series(t, orders):
+    own = orders.join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id")).distinct()
+    seeds = own.join(t("part"), F.col("book_id") == F.col("p_partkey")).select("user_id", "p_brand", "p_type").distinct()
+    return seeds.join(t("part"), ["p_brand", "p_type"]).select("user_id", F.col("p_partkey").alias("book_id")).join(own, ["user_id", "book_id"], "left_anti")
+
+
 @query("""
 WITH own AS (SELECT DISTINCT o_custkey AS u, l_partkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 40),
 s AS (SELECT DISTINCT u, p_brand, p_type FROM own JOIN part ON p_partkey = k)
 SELECT u AS user_id, p_partkey AS book_id FROM s JOIN part USING (p_brand, p_type) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.u = s.u AND own.k = p_partkey)
 """)
 def recs_same_series(t):
-    own = t("orders").where("o_custkey < 40").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id")).distinct()
-    seeds = own.join(t("part"), F.col("book_id") == F.col("p_partkey")).select("user_id", "p_brand", "p_type").distinct()
-    return seeds.join(t("part"), ["p_brand", "p_type"]).select("user_id", F.col("p_partkey").alias("book_id")).join(own, ["user_id", "book_id"], "left_anti")
+    return _same_series(t, t("orders").where("o_custkey < 40"))
+
+
+@query(None)
+def recs_same_series_all(t):
+    """recs_same_series for every user."""
+    return _same_series(t, t("orders"))
+
+
+def _same_author(t, seeds):
+    a, b = seeds.alias("a"), t("part").alias("b")
+    rest = (F.col("a.p_partkey") != F.col("b.p_partkey")) & ~((F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")))
+    return a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & rest).select(F.col("a.p_partkey").alias("seed_id"), F.col("b.p_partkey").alias("book_id")).distinct()
 
 
 @query("""
@@ -81,9 +97,20 @@ SELECT DISTINCT a.p_partkey AS seed_id, b.p_partkey AS book_id FROM part a JOIN
 WHERE a.p_partkey < 60 AND a.p_partkey <> b.p_partkey AND NOT (a.p_brand = b.p_brand AND a.p_type = b.p_type)
 """)
 def recs_same_author(t):
-    a, b = t("part").where("p_partkey < 60").alias("a"), t("part").alias("b")
-    rest = (F.col("a.p_partkey") != F.col("b.p_partkey")) & ~((F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")))
-    return a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & rest).select(F.col("a.p_partkey").alias("seed_id"), F.col("b.p_partkey").alias("book_id")).distinct()
+    return _same_author(t, t("part").where("p_partkey < 60"))
+
+
+@query(None)
+def recs_same_author_all(t):
+    """recs_same_author for every seed book."""
+    return _same_author(t, t("part"))
+
+
+def _recs_merged(t, orders):
+    rows = orders.join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    by = lambda f, o, x: F.when(F.col("o_orderstatus") == "F", f).when(F.col("o_orderstatus") == "O", o).otherwise(x)
+    rows = rows.select(F.col("o_custkey").alias("user_id"), "p_brand", (by(110, 95, 70) + F.when(F.col("l_quantity") > 40, 12).otherwise(0)).cast("long").alias("score"), by("series", "followed", "author").alias("reason"), by(0, 1, 2).alias("rank"), "o_orderkey", "l_linenumber", "l_partkey")
+    return series.evidence(rows, ["user_id", "p_brand"], [F.col(c) for c in ("rank", "o_orderkey", "l_linenumber", "l_partkey")])
 
 
 @query("""
@@ -95,10 +122,13 @@ first_value(reason) OVER (PARTITION BY user_id, p_brand ORDER BY score DESC, ran
 SELECT user_id, p_brand, CAST(score + 2 * (c - 1) AS BIGINT) AS score, best AS reason FROM w WHERE n = 1
 """)
 def recs_merged(t):
-    rows = t("orders").where("o_custkey < 100").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
-    by = lambda f, o, x: F.when(F.col("o_orderstatus") == "F", f).when(F.col("o_orderstatus") == "O", o).otherwise(x)
-    rows = rows.select(F.col("o_custkey").alias("user_id"), "p_brand", (by(110, 95, 70) + F.when(F.col("l_quantity") > 40, 12).otherwise(0)).cast("long").alias("score"), by("series", "followed", "author").alias("reason"), by(0, 1, 2).alias("rank"), "o_orderkey", "l_linenumber", "l_partkey")
-    return series.evidence(rows, ["user_id", "p_brand"], [F.col(c) for c in ("rank", "o_orderkey", "l_linenumber", "l_partkey")])
+    return _recs_merged(t, t("orders").where("o_custkey < 100"))
+
+
+@query(None)
+def recs_merged_all(t):
+    """recs_merged for every user."""
+    return _recs_merged(t, t("orders"))
 
 
 @query("""
@@ -364,12 +394,22 @@ def cursor_max(t):
     return t("events").groupBy("user_id").agg(F.max("ts").alias("cursor_date"), F.bool_or(F.col("event_type") == "purchase").alias("completed"), F.max("event_id").alias("cursor_id"))
 
 
+def _follow_fanout(t, orders):
+    follows = orders.select(F.col("o_custkey").alias("user_id")).distinct().withColumn("p_brand", F.concat(F.lit("Brand#"), (F.col("user_id") % 25).cast("string")))
+    owned = orders.join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id"))
+    return tables.drop_keys(follows.join(t("part"), "p_brand").select("user_id", F.col("p_partkey").alias("book_id")), owned, ["user_id", "book_id"])
+
+
 @query("""WITH u AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 30) SELECT u.o_custkey AS user_id, p_partkey AS book_id FROM u JOIN part ON p_brand = 'Brand#' || (u.o_custkey % 25)
 WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders o2 ON l_orderkey = o2.o_orderkey WHERE o2.o_custkey = u.o_custkey AND l_partkey = p_partkey)""")
 def follow_fanout(t):
-    follows = t("orders").where("o_custkey < 30").select(F.col("o_custkey").alias("user_id")).distinct().withColumn("p_brand", F.concat(F.lit("Brand#"), (F.col("user_id") % 25).cast("string")))
-    owned = t("orders").where("o_custkey < 30").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id"))
-    return tables.drop_keys(follows.join(t("part"), "p_brand").select("user_id", F.col("p_partkey").alias("book_id")), owned, ["user_id", "book_id"])
+    return _follow_fanout(t, t("orders").where("o_custkey < 30"))
+
+
+@query(None)
+def follow_fanout_all(t):
+    """follow_fanout for every follower."""
+    return _follow_fanout(t, t("orders"))
 
 
 @query("""WITH g AS (SELECT p_name, p_size, count(*) AS n, min(p_partkey) AS a, max(p_partkey) AS b FROM part GROUP BY 1, 2) SELECT a AS keep_id, b AS drop_id FROM g WHERE n = 2""")
