@@ -27,10 +27,17 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group linked by five-word shingles at a similarity of 0.8."""
-    groups = ngram_join.join(docs.select("doc_id", "text"), n=5, percent=80)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group linked by five-word shingles at a similarity of 0.8, that of least doc_id. Rows that share a
+    doc_id are told apart by their texts; rows without a doc_id are not compared and stay."""
+    if not ngram_join.repeats(docs):
+        groups = ngram_join.join_unique(docs.select("doc_id", "text"), "text", "doc_id", n=5, percent=80)
+        others = groups.where("doc_id <> component_id").select("doc_id")
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    held = ngram_join.numbered(docs)
+    groups = ngram_join.join_unique(held, "text", "kura_row", n=5, percent=80).where("doc_id is not null").withColumnRenamed("doc_id", "kura_row").join(held.select("kura_row", "doc_id"), "kura_row")
+    keep = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "kura_row"))["kura_row"].alias("kura_row")).select("kura_row")
+    kept = held.join(keep, "kura_row", "left_semi").select(*docs.columns)
+    return kept.unionByName(held.where("kura_row is null").select(*docs.columns))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,8 +368,32 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
+def repeats(ids: DataFrame) -> bool:
+    """Whether some doc_id that is not null has several rows."""
+    return bool(ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+
+
+def numbered(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """df with kura_row, a number of its own for each row whose id is not null; written down, so that it stays."""
+    return materialize(df.withColumn("kura_row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "ngram-rows")
+
+
 def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+
+    Rows that share a doc_id are linked by their own texts each."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not repeats(docs):
+        return join_unique(docs, "text", "doc_id", n, percent)
+    held = numbered(docs)
+    rows = join_unique(held, "text", "kura_row", n, percent).withColumnsRenamed({"doc_id": "kura_row", "component_id": "kura_part"})
+    rows = rows.join(held.select("kura_row", "doc_id").where("kura_row is not null"), "kura_row", "left")
+    least = rows.groupBy("kura_part").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "kura_part", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def join_unique(df: DataFrame, text_col: str, id_col: str, n: int, percent: int) -> DataFrame:
+    """join for doc_ids that are null or of one row each."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = materialize(profile(docs, n, percent), "ngram-sets")

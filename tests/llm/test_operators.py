@@ -105,6 +105,14 @@ def test_ngram_join(docs, n, percent, monkeypatch):
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+def test_ngram_join_of_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (0, c), (4, c + " end"), (4, ""), (None, b), (None, "q")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (0, 56, 0), (4, 57, 0), (4, 0, 4), (None, 56, 1), (None, 1, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_ngram_join_empty(docs):
     assert ngram_join.join(empty(docs)).count() == 0
 

@@ -20,3 +20,13 @@ def test_stages(spark):
     packed = cp.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == before
     assert cp.run(spark, SF).count() == packed.count()
+
+
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (4, c), (4, c), (None, d), (None, d), (None, a), (0, b), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, map(tuple, cp.near_duplicates(spark, df, SF).collect())))
+    assert got == sorted(map(str, [(1, a), (4, c), (None, d), (None, d), (None, a), (0, b), (5, "")]))
+    unique = df.where("doc_id is null or doc_id in (2, 3)")
+    assert cp.near_duplicates(spark, unique, SF).count() == 5
