@@ -133,9 +133,7 @@ class Reader(DataSourceReader):
                     continue
                 length = payload = None
                 if values["record_type"] in ("response", "revisit"):
-                    http, body = rest()
-                    length = http
-                    payload = body if self.payload and values["record_type"] == "response" else None
+                    length, payload = rest(self.payload and values["record_type"] == "response")
                 rows.append((*(values[c] for c in HEADERS), length, payload))
                 size += len(payload or b"") + 200
                 if size > BATCH_BYTES:
@@ -156,7 +154,8 @@ def fields(raw: bytes) -> dict[str, str]:
 
 
 def members(f):
-    """For each record its headers and a function that decodes the rest: content length and body."""
+    """For each record its headers and a function that decodes the rest: content length and body, or with False only
+    as far as the HTTP header goes: content length and None."""
     at, end = 0, f.size()
     while at < end:
         f.seek(at)
@@ -187,8 +186,13 @@ def members(f):
         cut = got.find(b"\r\n\r\n")
         head = fields(got[:cut])
 
-        def rest(cut=cut, head=head):
+        def rest(whole=True, cut=cut, head=head, more=more):
             nonlocal got
+            if not whole:
+                while got.find(b"\r\n\r\n", cut + 4) < 0 and more(1024):
+                    pass
+                http = got[cut + 4 : max(cut + 4, got.find(b"\r\n\r\n", cut + 4))]
+                return int(fields(http).get("content-length", 0)), None
             while more(None):
                 pass
             block = got[cut + 4 : cut + 4 + int(head.get("content-length", 0))]

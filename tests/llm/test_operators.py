@@ -293,6 +293,39 @@ def test_warc_plain_members(tmp_path):
     assert [rest() for _, rest in warc.members(Whole(raw))] == [(4, b"body")] * 3
 
 
+def test_warc_leaves_payloads_undecoded(spark, tmp_path, monkeypatch):
+    import io
+
+    texts = ["ab" * 4_000_000, "", "c" * 70_000]
+    raw = b"".join(warc.member(warc.record("response", f"urn:{i}", "http://a", None, "d", t.encode(), len(t))) for i, t in enumerate(texts))
+    decoded = []
+
+    class Counting:
+        def __init__(self, bits, make=zlib.decompressobj):
+            self.own = make(bits)
+
+        def decompress(self, *args):
+            out = self.own.decompress(*args)
+            decoded.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    class Whole(io.BytesIO):
+        def size(self):
+            return len(raw)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    assert [rest(False) for _, rest in warc.members(Whole(raw))] == [(len(t), None) for t in texts]
+    assert sum(decoded) < 20_000
+    assert [rest() for _, rest in warc.members(Whole(raw))] == [(len(t), t.encode()) for t in texts]
+    rows = spark.createDataFrame([(i, "http://a", t) for i, t in enumerate(texts)] + [(9, "http://b", texts[2])], "page_id long, url string, html string")
+    warc.write(rows, path := f"file://{tmp_path}/w")
+    get = lambda payload: sorted((r.record_id, r.record_type, r.payload_length) for r in warc.read(spark, path, payload=payload).collect())
+    assert get(False) == get(True)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=cookie-notice><p>We use cookies.</p></div><article><h1>A title</h1><p>First &amp; second.<br>More&nbsp;text here. And on.<p>Third one.</article><div id=comments><p>Nice, I liked it. Thanks.</p></div><footer>(c) someone</footer></body></html>"
     assert html_extract.main_text(page) == "A title\nFirst & second. More text here. And on.\nThird one."
