@@ -1,11 +1,14 @@
 """Quality classifier: hashed word n-gram logistic regression with follow-the-regularised-leader updates.
 
 Features are the distinct words and word pairs of a text (lower-cased A-Z), hashed to 2**bits places; a score is
-the logistic of a sparse dot product. One task trains on at most max_rows labelled rows, those of least hash of
-the doc_id; weights have a fixed size (2**bits floats), so sending them to every worker is bounded.
-
-Defined results: null and empty texts score the logistic of the bias; labels that are null, or whose document is
-missing, are not learned from; with no labelled rows every score is 0.5; repeated rows are scored alike.
+the logistic of a sparse dot product. One task trains on at most max_rows labelled documents. Their ids are chosen
+first, from the labels alone: those of least hash of the doc_id. Only the texts of these ids, which are sent to the
+scan, cross a shuffle. Weights have a fixed size (2**bits floats), so sending them to every worker is bounded.
+
+Defined results: null and empty texts score the logistic of the bias; labels that are null or neither 0 nor 1 are
+not learned from; repeated equal labels count once, and a document with both labels is learned with each; a chosen
+label whose document is missing is one row less to learn from; of rows that share a doc_id the least text is learned; with no
+labelled rows every score is 0.5; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, texts_of, with_columns
+from .common import Memo, materialize, release, texts_of, with_columns
 
 BITS = 20
 MAX_ROWS = 10_000
@@ -83,24 +86,36 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 5, **options) -> np.ndarray:
-    """Weights from at most max_rows rows of (id, text, label); the bias is last."""
-    order = F.xxhash64(id_col, F.lit("train"))
-    some = rows.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.col(id_col).alias("id"), order.alias("turn"))
-    some = some.orderBy("turn", "id").limit(max_rows).coalesce(1)
+def sample(labels: DataFrame, label_col: str = "label", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> DataFrame:
+    """turn, id, label of at most max_rows labels, those of least hash of the id. A first cut at a hash that leaves little
+    more than max_rows keeps what each task sends to the last one small, however many labels and tasks there are."""
+    some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.xxhash64(id_col, F.lit("train")).alias("turn"), F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    count = some.agg(F.approx_count_distinct("turn", 0.02)).first()[0]
+    share = (1.2 * max_rows + 100) / max(1, count)
+    if share < 1:
+        some = some.where(F.col("turn") < int(share * (1 << 64)) - (1 << 63))
+    return some.distinct().orderBy("turn", "id", "label").limit(max_rows)
+
+
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 5, **options) -> np.ndarray:
+    """Weights from at most max_rows labels and the texts of their documents; the bias is last."""
+    chosen = materialize(sample(labels, label_col, id_col, max_rows), "classifier-sample")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # max_rows rows of three numbers
+    some = rows.groupBy("turn", "id", "label").agg(F.min("text").alias("text")).coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = [(turn, i, features(t or "", bits), y) for b in batches for turn, i, t, y in zip(*(b[c].to_pylist() for c in ("turn", "id", "text", "label")), strict=True)]
-        learned.sort(key=lambda r: r[:2])
+        learned = [(turn, i, y, features(t, bits)) for b in batches for turn, i, y, t in zip(*(b[c].to_pylist() for c in ("turn", "id", "label", "text")), strict=True)]
+        learned.sort(key=lambda r: r[:3])
         model = Ftrl(bits, **options)
         for _ in range(passes):
-            for _, _, places, label in learned:
+            for _, _, label, places in learned:
                 model.update(places, label)
         w = model.weights(slice(None)).astype(np.float32)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["place", "weight"])
 
     found: pd.DataFrame = some.mapInArrow(run, "place long, weight float").toPandas()
+    release(chosen)
     weights = np.zeros((1 << bits) + 1, np.float32)
     weights[found["place"].to_numpy(np.int64)] = found["weight"].to_numpy(np.float32)
     return weights

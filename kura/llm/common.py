@@ -24,12 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset (local tests), a temporary folder is set."""
+    """A new path below spark.checkpoint.dir, deleted when the driver ends. Where that is unset, a local master gets a
+    temporary folder and any other an error: executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='kura-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kura/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/kura/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    store, place = files_of(spark, path)
+    store.deleteOnExit(place)
+    return path
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """The file system and path object of a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -42,11 +54,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the table of a materialized df that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.kura_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read again."""
+    for df in tables:
+        store, place = files_of(df.sparkSession, df.kura_path)
+        store.delete(place, True)
 
 
 def tidy(spark: SparkSession) -> None:

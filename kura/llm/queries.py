@@ -85,8 +85,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    learned = docs.where(~classifier.held_out(F.col("doc_id"))).join(labels, "doc_id")
-    scored = classifier.score(docs, classifier.train(learned), drop=("text",))
+    scored = classifier.score(docs, classifier.train(docs, labels.where(~classifier.held_out(F.col("doc_id")))), drop=("text",))
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
 
 

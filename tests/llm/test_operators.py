@@ -347,8 +347,53 @@ def test_html_held_out_nodes():
 def test_classifier(spark, docs):
     rows = [(i, ("good fine text " if i % 2 else "bad junk noise ") + prose(12), i % 2) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    weights = classifier.train(df.where(~classifier.held_out(F.col("doc_id"))))
+    weights = classifier.train(df, df.where(~classifier.held_out(F.col("doc_id"))).select("doc_id", "label"))
     out = classifier.score(df, weights).where(classifier.held_out(F.col("doc_id"))).collect()
     assert all((r.score >= 0.5) == bool(r.label) for r in out)
     assert all(0 <= r.score <= 1 for r in classifier.score(docs, weights).collect())
-    assert classifier.score(docs, classifier.train(df.where("doc_id < 0"))).first().score == 0.5
+    none = df.select("doc_id", "label").where("doc_id < 0")
+    assert classifier.score(docs, classifier.train(df, none)).first().score == 0.5
+
+
+def plain_ftrl(rows, bits, alpha=2.0, beta=1.0, l1=0.01, l2=0.01, passes=5):
+    """The update rule in scalars, over a dictionary of places."""
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - (l1 if z[k] > 0 else -l1)) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    for _ in range(passes):
+        for places, label in rows:
+            x = dict.fromkeys(places, 1 / max(1, len(places)) ** 0.5) | {1 << bits: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                s = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / alpha
+                z[k] = z.get(k, 0.0) + g - s * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z}
+
+
+def test_classifier_learns_as_the_plain_rule(spark):
+    rows = [(i, prose(rng.randint(0, 20)) or None, rng.randrange(2)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, "zzz later text of the same id")], "doc_id long, text string")
+    marks = [(i, y) for i, _, y in rows] + [(5, 1 - rows[5][2]), (7, rows[7][2]), (8, None), (9, 2), (None, 1), (999, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, label int")
+    turns = {r.id: r.turn for r in classifier.sample(labels).collect()}
+    text = {i: t or "" for i, t, _ in rows}
+    text[3] = min(text[3], "zzz later text of the same id")
+    learned = sorted({(turns[i], i, y) for i, y in marks if y in (0, 1) and i in text})
+    want = plain_ftrl([(classifier.features(text[i], 12).tolist(), y) for _, i, y in learned], 12)
+    got = classifier.train(docs, labels, bits=12)
+    assert set(np.flatnonzero(got).tolist()) == {k for k, w in want.items() if np.float32(w)}
+    assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-5, atol=1e-6)
+
+
+def test_classifier_samples_labels_by_hash(spark):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    got = [(r.turn, r.id) for r in classifier.sample(labels, max_rows=300).collect()]
+    hashes = sorted((r.turn, r.doc_id) for r in labels.withColumn("turn", F.xxhash64("doc_id", F.lit("train"))).collect())
+    assert got == hashes[:300]
