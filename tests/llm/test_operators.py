@@ -220,11 +220,11 @@ def test_line_dedup(spark):
 
 def brute_line_dedup(rows, least):
     """Lines in common runs of least words with any earlier document, and copies of shorter ones."""
-    texts = {i: [x.strip() for x in t.split("\n") if x.strip()] for i, t in rows}
-    gone = {}
-    for b, late in texts.items():
+    texts = [(i, [x.strip() for x in t.split("\n") if x.strip()]) for i, t in rows]
+    gone = []
+    for b, late in texts:
         cut = set()
-        for a, early in texts.items():
+        for a, early in texts:
             if a >= b:
                 continue
             if late == early:
@@ -236,33 +236,62 @@ def brute_line_dedup(rows, least):
                         n += 1
                     if sum(len(x.split()) for x in late[p : p + n]) >= least:
                         cut |= set(range(p, p + n))
-            # what patience alignment of the pair finds is part of it
-            often = [(p, q, hash(x), len(x.split())) for p, x in enumerate(late) for q, y in enumerate(early) if x == y]
-            assert set(line_dedup.doomed(often, least)) <= cut
-        gone[b] = cut
+        gone.append((b, cut))
     return gone
 
 
-def test_line_dedup_misses_no_block(spark):
+def cut_lines(text, gone):
+    own = [x for x in text.split("\n") if x.strip()]
+    return [x for i, x in enumerate(own) if i not in gone]
+
+
+@pytest.mark.parametrize(("rare", "least"), [(8, 25), (2, 25), (0, 25), (3, 6)])
+def test_line_dedup_misses_no_block(spark, rare, least):
     lines = [prose(10) for _ in range(8)]
     a, b = lines[:4], [lines[0], lines[1], lines[4], lines[3]]
     x, y, z = lines[5:]
     rows = [(1, a), (2, b), (3, b), (4, [x, "---", y, "---", z]), (5, [x, "---", y, "---", z]), (6, ["tiny one"]), (7, ["tiny one"])]
     rows = [(i, "\n".join(t)) for i, t in rows]
     pool = [prose(n) for n in (1, 2, 3, 5, 9, 14, 26)] + ["---"]
+    wide = pool + [prose(rng.randint(1, 12)) for _ in range(60)]
     rows += [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(8, 40)]
+    for i in range(40, 80):  # passages of few documents, moved and between other lines
+        parts = [[rng.choice(wide) for _ in range(rng.randint(1, 4))] for _ in range(4)]
+        rows.append((i, "\n".join(sum(parts, []))))
+        if i % 4 == 3:
+            earlier = rows[-rng.randint(2, 30)][1].split("\n")
+            rng.shuffle(parts)
+            rows.append((i, "\n \n".join([*earlier[1:], *parts[0], *earlier[:2]])))  # a second row of one doc_id
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc: set(r.gone) for r in line_dedup.deletions(df).collect()}
-    assert got == {i: c for i, c in brute_line_dedup(rows, 25).items() if c}
-    assert got[3] == set(range(4)) and got[5] == set(range(5)) and got[7] == {0} and 2 not in got
-    assert {3, 5, 7}.isdisjoint(r.doc_id for r in line_dedup.keep_rest(df).collect())
+    want = sorted((i, cut_lines(t, c), len(c)) for (i, t), (_, c) in zip(rows, brute_line_dedup(rows, least), strict=True))
+    got = sorted((r.doc_id, [x for x in r.text.split("\n") if x.strip()], r.n_removed) for r in line_dedup.dedup(df, min_words=least, rare=rare).collect())
+    assert got == want
+    if least == 25:
+        assert {3, 5, 7}.isdisjoint(r.doc_id for r in line_dedup.keep_rest(df).collect())
+
+
+def test_line_dedup_cases(spark):
+    copy = prose(40)
+    rows = [(1, copy, "a", 1), (2, copy, "b", 2), (None, copy, "c", 3), (3, None, "d", 4), (4, "", "e", 5), (2, copy, "b", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_removed int").withColumnsRenamed({"gone": "row"})
+    out = sorted((r.row, r.text, r.n_removed) for r in line_dedup.dedup(df).fillna("null", ["text"]).collect())
+    assert out == [("a", copy, 0), ("b", "", 1), ("b", "", 1), ("c", copy, 0), ("d", "null", 0), ("e", "", 0)]
+    assert line_dedup.dedup(df.where("false")).count() == 0
+
+
+def test_line_dedup_of_long_texts(spark):
+    import time
+
+    own = [f"line {i} with some more words {i % 977}" for i in range(20_000)]
+    rows = [(1, "\n".join(own)), (2, "\n".join(own[::-1])), (3, "\n".join(own[10_000:] + own[:10_000]))]
+    began = time.time()
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 0, 3: 20_000} and time.time() - began < 60
 
 
-def test_patience_keeps_order():
-    lines = [(0, 2, 10, 5), (1, 3, 11, 5), (2, 0, 12, 5)]
-    assert line_dedup.align(lines) == lines[:2]
-    assert sorted(line_dedup.doomed(lines, 5)) == [0, 1, 2]
-    assert sorted(line_dedup.doomed(lines, 10)) == [0, 1]
+def test_patience_piles():
+    assert line_dedup.piles([5, 10, 1, 12], [8, 11, 3, 20]) == [0, 0, 1, 0]
+    assert line_dedup.piles([9, 6, 3, 0], [10, 7, 4, 1]) == [0, 1, 2, 3]
 
 
 def test_warc(spark, tmp_path):
