@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, chunks, materialize, release
+from .common import WHITE, by_key, chunks, materialize, release
 
 #: Words of the smallest block that is deleted.
 MIN_WORDS = 25
@@ -109,23 +109,6 @@ def stretches(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Sorted rows in tables that hold all rows of each key in them."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch[n].to_numpy() for n in names]
-        cut = int(np.flatnonzero(np.logical_and.reduce([k == k[-1] for k in keys]) ^ True).max(initial=-1)) + 1
-        if not cut and rest and all(rest[-1][n][-1].as_py() == k[0] for n, k in zip(names, keys, strict=True)):
-            rest.append(batch)  # all of the batch belongs to the key that is still open
-            continue
-        yield pa.Table.from_batches([*rest, batch.slice(0, cut)], batch.schema)
-        rest = [batch.slice(cut)]
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def evidence(shared: DataFrame, min_words: int, most: int) -> DataFrame:
     """Of the shared lines of each document, sorted, the places of rare lines and the least blocks of frequent ones."""
     least = max(1, min_words)

@@ -1,14 +1,20 @@
 """N-gram Jaccard join by signature trees.
 
-A document's set is its distinct word n-grams. Documents with equal sets are one class. Sets that link share one of
-their first tokens in any common order (prefix filter); tokens that are frequent come last in the order, so blocks -
-the classes that share a token of their prefixes - stay small. In each block a tree is built over the classes, ordered by size:
-nodes hold the OR of their members' token bitmaps, the size range and the most tokens without a bit of their own, and a
-dual traversal drops node pairs whose maximum possible overlap is too small. Bitmaps are laid out in the block, over
-the token fingerprints that two or more members hold, so that near misses are told apart there. Of the pairs that are left only
-those that connect something new in the block are emitted, and are checked on the sets; a block where a check fails is
-traversed again without that pair, and with TRIES more pairs a member, until none fails. So no link between
-components is missed, and a block's pairs in a round are in proportion to its members.
+A document's set is its distinct word n-grams. Documents with equal sets are one class. The collection is one forest of
+signature trees: its first level parts the classes by the tokens of their prefixes (sets that link share one of their
+first tokens in any common order; tokens that are frequent come last in the order, so the parts - blocks - stay small), and
+in each block a tree is built over the classes, ordered by size: nodes hold the OR of their members' token bitmaps, the
+size range and the most tokens without a bit of their own, and a dual traversal drops node pairs whose maximum possible
+overlap is too small. Bitmaps are laid out in the block, over the token fingerprints that two or more members hold, so
+that near misses are told apart there. Of the pairs that are left only those that connect something new in the block are
+emitted, and are checked on the sets; a block where a check fails is traversed again without that pair, and with TRIES more
+pairs a member, until none fails. So no link between components is missed, and a block's pairs in a round are in proportion
+to its members.
+
+A block of more than PART members is dealt to parts by hash, with some members (leaders) in all of them, and each part is a
+tree of its own. In a large group of near copies the leaders connect the parts. What is then not in the largest
+component of the block is held against all of its members, part by part, with what is connected already marked, so no
+pair of parts is traversed whole unless the block has little in common.
 
 Defined results: null, empty and white-space texts have an empty set (n_shingles 0) and link with nothing; a text
 of fewer words than n has one shingle, the whole sequence; repeated rows are linked; null doc_ids are dropped from
@@ -17,7 +23,7 @@ the links but keep their row (component_id null). Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, release, texts_of, tidy
+from .common import by_key, chunks, materialize, release, texts_of, tidy
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: At most so many frequent tokens are sent to all tasks; with fewer than LEAST rows a token isn't frequent.
 MOST_FREQUENT, LEAST = 1 << 18, 24
-#: Members of a block at once; a larger block is dealt in pairs of parts.
-PART = 4096
+#: Members of a block's part; about LEADERS members stand in all parts of a block.
+PART, LEADERS = 4096, 16
+#: Most tokens of the sets of a part, by which sets are decoded in one task.
+TOKENS = 1 << 23
 #: Bytes of the bitmaps of a block's members.
 ROOM = 64 << 20
 LEAF = 8
@@ -65,42 +73,40 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def width(size: int) -> int:
-    """Bits of a set's fingerprints: a range of 64 to 128 times its size."""
-    return max(size - 1, 3).bit_length() + 6
+    """Bits of a set's fingerprints: a range of 4,096 to 8,192 times its size, so that few tokens share one."""
+    return max(size - 1, 3).bit_length() + 12
 
 
 def prints(tokens: np.ndarray) -> bytes:
-    """The fingerprints, low bits of the tokens, in order: gaps in a byte each, with 255 for every 255 passed over."""
+    """The fingerprints, low bits of the tokens, in order: gaps in two bytes each, with 65535 for every 65535 passed over."""
     low = np.sort((tokens & np.uint64((1 << width(tokens.size)) - 1)).astype(np.int64))
-    over, rest = np.divmod(np.diff(low, prepend=0), 255)
-    out = np.full(low.size + int(over.sum()), 255, np.uint8)
+    over, rest = np.divmod(np.diff(low, prepend=0), 65535)
+    out = np.full(low.size + int(over.sum()), 65535, np.uint16)
     out[np.cumsum(over + 1) - 1] = rest
     return out.tobytes()
 
 
 def fingerprints(coded: bytes) -> np.ndarray:
-    gaps = np.frombuffer(coded, np.uint8)
-    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
+    gaps = np.frombuffer(coded, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 65535].astype(np.uint32)
 
 
 def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A row of bits for each set over the fingerprints that two or more sets hold, and how many of a set's tokens
     have no bit of their own. An overlap is at most the common bits plus the lesser of these counts."""
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [x.size for x in sets])
-    words, place, often = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = often > 1
-    at = (np.cumsum(shared) - 1)[place]
-    held = shared[place]
-    owner, at = owner[held], at[held]
+    flat.sort()
+    shared = np.unique(flat[1:][flat[1:] == flat[:-1]])
     # wide enough for a bit each, but no wider than ROOM bytes for all sets allow; then bits are shared
-    bits = 64 * max(1, min(-(-int(shared.sum()) // 64), ROOM // (8 * len(sets))))
-    rows = np.zeros((len(sets), bits // 8), np.uint8)
-    at = at % bits
-    np.bitwise_or.at(rows, (owner, at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+    bits = 64 * max(1, min(-(-shared.size // 64), ROOM // (8 * len(sets))))
+    rows, held = np.zeros((len(sets), bits // 8), np.uint8), np.zeros(len(sets), np.int64)
+    for i, some in enumerate(sets if shared.size else ()):
+        at = np.searchsorted(shared, some)
+        at = at[shared[np.minimum(at, shared.size - 1)] == some] % bits
+        held[i] = at.size
+        np.bitwise_or.at(rows[i], at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
     rows = rows.view(np.uint64)
-    spare = np.bincount(owner, minlength=len(sets)) - np.bitwise_count(rows).sum(1, dtype=np.int64)
-    return rows, spare
+    return rows, held - np.bitwise_count(rows).sum(1, dtype=np.int64)
 
 
 class Forest:
@@ -139,8 +145,9 @@ def children(left: np.ndarray, right: np.ndarray, many: int, same: np.ndarray) -
     return a[ok], b[ok]
 
 
-def tree_pairs(sizes: np.ndarray, bits: np.ndarray, spare: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Member pairs that may link, from a dual traversal; members are ordered by size, bits has a row for each."""
+def tree_pairs(sizes: np.ndarray, bits: np.ndarray, spare: np.ndarray, percent: int, parts: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Member pairs that may link, from a dual traversal; members are ordered by size, bits has a row for each. Node pairs all of
+    whose members are in one component by parts(), which is asked again and again, are passed over."""
     levels = [(bits, sizes, sizes, spare)]
     while len(levels[-1][1]) > LEAF:
         ors, low, high, most = levels[-1]
@@ -160,6 +167,12 @@ def tree_pairs(sizes: np.ndarray, bits: np.ndarray, spare: np.ndarray, percent:
             a, b = a[a < b], b[a < b]
         fits = 100 * np.minimum(high[a], high[b]) >= percent * np.maximum(low[a], low[b])
         a, b = a[fits], b[fits]
+        low_part = high_part = parts()
+        for _ in range(level):
+            cuts = np.arange(0, len(low_part), LEAF)
+            low_part, high_part = np.minimum.reduceat(low_part, cuts), np.maximum.reduceat(high_part, cuts)
+        apart = (low_part[a] != high_part[b]) | (low_part[b] != high_part[a])
+        a, b = a[apart], b[apart]
         if not a.size:
             continue
         overlap = np.bitwise_count(ors[a] & ors[b]).sum(1, dtype=np.int64) + np.minimum(most[a], most[b])
@@ -188,12 +201,13 @@ def connect(sizes: np.ndarray, sets: list[np.ndarray], percent: int, linked: lis
         if own.size < 2:
             continue
         own = own[np.argsort(sizes[own], kind="stable")]
-        for a, b in tree_pairs(sizes[own], *bitmaps([sets[i] & ((1 << w) - 1) for i in own]), percent):
+        held = [sets[i] & np.uint32((1 << w) - 1) for i in own]
+        for a, b in tree_pairs(sizes[own], *bitmaps(held), percent, lambda own=own: (roots if failed else forest.flat())[own]):
             a, b = own[a], own[b]
             now = forest.flat()
             new = (now[a] != now[b]) | (roots[a] != roots[b]) & ((tries[a] > 0) | (tries[b] > 0))
             for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
-                if (min(x, y), max(x, y)) not in failed and (forest.join(x, y) or tries[x] > 0 or tries[y] > 0):
+                if (min(x, y), max(x, y)) not in failed and (forest.join(x, y) or roots[x] != roots[y] and (tries[x] > 0 or tries[y] > 0)):
                     out.append((x, y))
                     tries[x] -= 1
                     tries[y] -= 1
@@ -233,18 +247,30 @@ def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
     return df.mapInArrow(run, fields)
 
 
-def blocks(profiles: DataFrame, percent: int) -> DataFrame:
-    """block, key: the members of each block of at least two classes; equal blocks of several tokens once."""
+def dealt(profiles: DataFrame) -> DataFrame:
+    """token, part, parts, key, place (size and position in the order) of each prefix token of each class. The members of a token that
+    has more than PART of them, or more than TOKENS tokens in all, are dealt to parts; LEADERS or so stand in each."""
+    tokens = profiles.select(F.posexplode("prefix").alias("at", "token"), "key", "size").select("token", "key", (F.shiftleft("size", 32) + F.col("at")).alias("place"))
+    size = F.shiftright("place", 32)
+    some = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total")).where((F.col("n") > PART) | (F.col("total") > TOKENS)), "ngram-hot")
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("total") / TOKENS)).cast("int")
+    tokens = tokens.join(some.select("token", "n", parts.alias("parts")), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    leads = F.pmod(F.xxhash64("key", F.lit("lead")), F.greatest(F.lit(1), F.floor(F.col("n") / LEADERS))) == 0
+    places = F.when((F.col("parts") > 1) & leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
+    return tokens.select("token", F.explode(places).alias("part"), "parts", "key", "place")
+
+
+def blocks(tokens: DataFrame, percent: int) -> DataFrame:
+    """block, key: the members of each part of a token that has at least two classes; equal blocks of several tokens once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
-        rest: list[np.ndarray] = []
-
-        def emit(token, key, place):
-            """Blocks of the tokens in these sorted rows; place is size and position in the order."""
+        for some in by_key(batches, ["token", "part"]):
+            if not some.num_rows:
+                continue
+            token, part, key, place = (some[c].to_numpy() for c in ("token", "part", "key", "place"))
             size, position = place >> 32, place & 0xFFFFFFFF
-            starts = np.flatnonzero(np.diff(token, prepend=token[0] - 1 if token[0] > np.iinfo(np.int64).min else 0))
-            starts = np.union1d(starts, [0])
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(part) != 0)) + 1])
             ends = np.append(starts[1:], token.size)
             big = ends - starts > 1
             ids, members = [], []
@@ -262,46 +288,44 @@ def blocks(profiles: DataFrame, percent: int) -> DataFrame:
                     order = np.argsort(s, kind="stable")
                     k, s = k[order], s[order]
                     near = 100 * s[:-1] >= percent * s[1:]
-                    k = k[np.append(near, False) | np.append(False, near)]
+                    k = np.sort(k[np.append(near, False) | np.append(False, near)])
                 if k.size < 2:
                     continue
-                k.sort()
-                parts = [k[i : i + PART] for i in range(0, k.size, PART)]
-                groups = [k] if len(parts) == 1 else [np.concatenate([x, y]) for i, x in enumerate(parts) for y in parts[i + 1 :]]
-                for g in groups:
-                    block = xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63)
-                    if block not in seen:
-                        if len(seen) >= 1 << 18:
-                            seen.clear()
-                        seen[block] = None
-                        ids.append(np.full(g.size, block, np.int64))
-                        members.append(g)
+                block = xxhash.xxh3_64_intdigest(k.tobytes()) - (1 << 63)
+                if block not in seen:
+                    if len(seen) >= 1 << 18:
+                        seen.clear()
+                    seen[block] = None
+                    ids.append(np.full(k.size, block, np.int64))
+                    members.append(k)
             if ids:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(members))], names=["block", "key"])
-            return None
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(members))], names=["block", "key"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, key, place = (batch[c].to_numpy() for c in ("token", "key", "place"))
-            if rest:
-                token, key, place = (np.concatenate([r, x]) for r, x in zip(rest, (token, key, place), strict=True))
-            cut = int(np.searchsorted(token, token[-1]))
-            rest = [token[cut:], key[cut:], place[cut:]]
-            if cut and (found := emit(token[:cut], key[:cut], place[:cut])):
-                yield found
-        if rest and (found := emit(*rest)):
-            yield found
+    rows = tokens.select("token", "part", "key", "place")
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "block long, key long").distinct()
 
-    tokens = profiles.select(F.posexplode("prefix").alias("at", "token"), "key", "size").select("token", "key", (F.shiftleft("size", 32) + F.col("at")).alias("place"))
-    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "block long, key long").distinct()
+
+def rest_blocks(hot: DataFrame, label: DataFrame) -> DataFrame:
+    """block, key, component: for each token in several parts, what is outside of the largest component among its members beside
+    all members, part by part. hot has token, parts, key."""
+    named = hot.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    many = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = many.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+    named = materialize(named.join(largest, "token").where("others > 0"), "ngram-hot-members")
+    pieces = F.ceil(F.col("others") / PART).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    whole = named.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("piece", every(pieces))
+    others = named.where("component <> largest").withColumn("piece", F.pmod(F.xxhash64("key"), pieces).cast("int")).withColumn("part", every(F.col("parts")))
+    columns = [F.xxhash64("token", "part", "piece").alias("block"), "key", "component"]
+    return whole.select(*columns).union(others.select(*columns)).distinct()
 
 
 def candidates(members: DataFrame, classes: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
-    """block, a, b: pairs of keys to check."""
-    rows = members.join(classes.select("key", "size", "prints"), "key").select("block", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "size", "prints", F.lit(None).cast("boolean").alias("linked"))
+    """block, a, b: pairs of keys to check. Members of equal component are linked already; null is none."""
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = members.join(classes.select("key", "size", "prints"), "key").select("block", F.col("key").alias("a"), null("long").alias("b"), "size", "prints", null("boolean").alias("linked"), "component")
     if tried is not None:
-        rows = rows.unionByName(tried.select("block", "a", "b", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("prints"), "linked"))
+        rows = rows.unionByName(tried.select("block", "a", "b", null("long").alias("size"), null("binary").alias("prints"), "linked", null("long").alias("component")))
 
     def run(group: pa.Table) -> pa.Table:
         pair = group["b"].is_valid().to_numpy()
@@ -316,6 +340,10 @@ def candidates(members: DataFrame, classes: DataFrame, tried: DataFrame | None,
         ok = old["linked"].to_pylist()
         linked = [p for p, o in zip(zip(a, b, strict=True), ok, strict=True) if o]
         failed = {(min(p), max(p)) for p, o in zip(zip(a, b, strict=True), ok, strict=True) if not o}
+        first: dict[int, int] = {}
+        for i, part in enumerate(here["component"].take(pa.array(order)).to_pylist()):
+            if part is not None and first.setdefault(part, i) != i:
+                linked.append((first[part], i))
         pairs = connect(sizes, sets, percent, linked, failed)
         x, y = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
         block = group["block"][0].as_py()
@@ -403,31 +431,43 @@ def join_unique(df: DataFrame, text_col: str, id_col: str, n: int, percent: int)
     heavy = np.sort(np.array([r[0] for r in counts.where(F.col("count") >= least).select("token").collect()], np.int64).view(np.uint64))
     full = first.where("doc_id is not null and size > 0")
     classes = materialize(full.groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size")), "ngram-classes")
-    profiles = materialize(profile(docs, n, percent, spark.sparkContext.broadcast(heavy)).where("size > 0 and doc_id is not null"), "ngram-profiles")
-    members = materialize(blocks(profiles, percent), "ngram-blocks")
-    used = members.select("key").distinct().join(classes.select("key", "doc_id"), "key")
-    owned = materialize(profiles.select("doc_id", "size", "prints").join(used, "doc_id").dropDuplicates(["doc_id"]), "ngram-prints")
+    every = profile(docs, n, percent, spark.sparkContext.broadcast(heavy))
+    profiles = materialize(every.join(classes.select("doc_id"), "doc_id", "left_semi"), "ngram-profiles")  # a document of each class
+    tokens = dealt(profiles)
+    members = materialize(blocks(tokens, percent).withColumn("component", F.lit(None).cast("long")), "ngram-blocks")
+    hot = materialize(tokens.where("parts > 1").select("token", "parts", "key").distinct(), "ngram-hot-tokens")
+    used = members.select("key").distinct()
+    owned = materialize(profiles.select("doc_id", "key", "size", "prints").join(used, "key"), "ngram-prints")
     release(profiles)
     tidy(spark)
+    texts = materialize(docs.join(owned.select("doc_id", "key"), "doc_id").select("key", "text"), "ngram-texts")
+    links = linked_pairs(members, owned, texts, n, percent)
+    if hot.take(1):
+        more = materialize(rest_blocks(hot, components(links)), "ngram-rest")
+        links = links.union(linked_pairs(more, owned, texts, n, percent))
+    release(texts)
+    node = classes.select("key", "doc_id")
+    edges = links.join(node.withColumnsRenamed({"key": "a", "doc_id": "x"}), "a").join(node.withColumnsRenamed({"key": "b", "doc_id": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    label = components(edges)
+    named = classes.join(label, classes["doc_id"] == label["node"], "left").select("key", "key2", F.coalesce("component", "doc_id").alias("component"))
+    rows = first.select("doc_id", F.col("size").alias("n_shingles"), "key", "key2")
+    return rows.join(named, ["key", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def linked_pairs(members: DataFrame, owned: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links that connect in each block of members what any links connect. Each round tries pairs in the blocks where one failed."""
     links, tried, todo = None, None, members
     while True:
         pairs = materialize(candidates(todo, owned, tried, percent), "ngram-pairs")
-        tidy(spark)
+        tidy(members.sparkSession)
         once = pairs.select("a", "b").distinct()
-        ids = once.select(F.col("a").alias("key")).union(once.select(F.col("b").alias("key"))).distinct().join(classes.select("key", "doc_id"), "key")
-        texts = materialize(docs.join(ids, "doc_id").dropDuplicates(["key"]).select("key", "text"), "ngram-texts")
-        checked = materialize(verify(once, texts, n, percent), "ngram-checked")
+        ids = once.select(F.col("a").alias("key")).union(once.select(F.col("b").alias("key"))).distinct()
+        checked = materialize(verify(once, texts.join(ids, "key", "left_semi"), n, percent), "ngram-checked")
         found = checked.where("linked").select("a", "b")
         links = found if links is None else links.union(found)
         results = pairs.join(checked, ["a", "b"]).select("block", "a", "b", "linked")
         bad = results.where("not linked").select("block").distinct()
         if not bad.take(1):
-            break
+            return links
         tried = materialize((results if tried is None else tried.unionByName(results)).join(bad, "block", "left_semi"), "ngram-tried")
         todo = materialize(todo.join(bad, "block", "left_semi"), "ngram-todo")
-    node = classes.select("key", "doc_id")
-    edges = links.join(node.withColumnsRenamed({"key": "a", "doc_id": "x"}), "a").join(node.withColumnsRenamed({"key": "b", "doc_id": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = components(edges)
-    named = classes.join(label, classes["doc_id"] == label["node"], "left").select("key", "key2", F.coalesce("component", "doc_id").alias("component"))
-    rows = first.select("doc_id", F.col("size").alias("n_shingles"), "key", "key2")
-    return rows.join(named, ["key", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

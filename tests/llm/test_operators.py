@@ -85,10 +85,10 @@ def test_directory_splits():
     assert depth == 3 and bucket == [0, 0, 1, 2, 3, 3, 3, 3]
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
-def test_ngram_join(docs, n, percent, monkeypatch):
+def brute_components(rows, n, percent):
+    """Shingles and component of each document, from all pairs."""
     sets = {}
-    for i, t in pairs(docs):
+    for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
         sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
     up = {i: i for i in sets}
@@ -101,8 +101,37 @@ def test_ngram_join(docs, n, percent, monkeypatch):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_ngram_join(docs, n, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, n=n, percent=percent).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert got == brute_components(pairs(docs), n, percent)
+
+
+@pytest.mark.parametrize("leaders", [1, 1000])
+def test_ngram_join_of_tokens_in_many_parts(spark, monkeypatch, leaders):
+    """One token in all classes, a large group of near copies, chains that drift away, and parts that hold few of them."""
+    monkeypatch.setattr(ngram_join, "PART", 12)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    monkeypatch.setattr(ngram_join, "LEAST", 2)
+    monkeypatch.setattr(ngram_join, "MATRIX", 4)
+    base, texts = prose(40).split(), []
+    for _ in range(60):
+        words = list(base)
+        words[rng.randrange(40)] = f"n{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    for _ in range(3):
+        words = list(base)
+        for _ in range(15):
+            words[rng.randrange(40)] = rng.choice(WORDS)
+            texts.append(" ".join(words))
+    texts += [f"{base[0]} {base[1]} {base[2]} {prose(6)}" for _ in range(30)]
+    rng.shuffle(texts)
+    rows = [(i, f"the same start {t}") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), n=2, percent=85).collect()}
+    assert got == brute_components(rows, 2, 85)
 
 
 def test_ngram_join_of_shared_ids(spark):
