@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, classifier, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, secrets, warc
-from .common import shared_dir, table
+from .common import materialize, shared_dir, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.measure(docs, drop=("text", "lang"), bands=quality.fit(docs))
+    measured = materialize(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop=("text",)), "quality")
+    return quality.judge(measured, quality.fit(measured)).drop("lang", "script")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -189,19 +191,46 @@ def test_packing(docs):
     assert packing.pack(empty(docs)).count() == 0
 
 
+def brute_measures(text, pieces, codec):
+    """The fertility measures, word by word."""
+    ids, chars, own = [], 0, 0
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        ids += pieces.encode(w)
+        own += len(codec.encode_ordinary(w))
+        chars += len(w)
+    share = sum(map(pieces.is_byte, ids)) / max(1, len(ids))
+    bits = -sum(ids.count(i) / len(ids) * math.log2(ids.count(i) / len(ids)) for i in set(ids))
+    letters = [c for c in text if c.isalpha()]
+    script = "latin" if 2 * sum(bool(re.match("[A-Za-zÀ-ɏ]", c)) for c in letters) >= len(letters) else "other"
+    return [chars / max(1, len(ids)), share, bits, chars / max(1, own)], len(ids), script
+
+
 def test_quality(spark, docs):
-    out = {r.doc_id: r for r in quality.measure(docs).collect()}
+    odd = [(900 + i, t, "q") for i, t in enumerate(["日本語 の 文章 です 。", "  \x0b a\x0cb \x85 \u3000 c ", "| | # $ ☃☃ \x00", "\n\n"])]
+    docs = docs.where("length(coalesce(text, '')) < 4000").union(spark.createDataFrame(odd, docs.schema))
+    measured = quality.measure(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "DE-at")).withColumn("script", F.lit("old")))
+    out = {r.doc_id: r for r in quality.judge(measured).collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=quality.VOCABULARY)
+    codec = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(quality.BYTE_VOCABULARY), special_tokens={})
     for i, t in pairs(docs):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
         hit = {k + s for k, g in enumerate(grams) if grams.count(g) > 1 for s in range(3)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
-        assert (out[i].n_words, out[i].word_chars, out[i].n_symbols, out[i].n_dup_lines, out[i].n_repeat_words) == want
-        assert out[i].base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
-    repeat = spark.createDataFrame([(1, "a b c d a b c # x\nq\n\nq", None)], "doc_id long, text string, lang string")
-    r = quality.measure(repeat).first()
+        r = out[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+        want, n, script = brute_measures(t, pieces, codec)
+        assert np.allclose([r.chars_per_token, r.byte_share, r.token_entropy, r.chars_per_byte_token], want) and (r.n_tokens, r.script) == (n, script)
+        low, high, most, calm, wild, least, greatest = quality.BANDS[script]
+        inside = low <= want[0] <= high and want[1] <= most and (n < 50 or calm <= want[2] <= wild) and least <= want[3] <= greatest
+        assert r.kept == (inside and not r.base_failed)
+    repeat = quality.measure(spark.createDataFrame([(1, "a b c d a b c # x\nq\n\nq", None)], "doc_id long, text string, lang string"))
+    r = quality.judge(repeat).first()
     assert (r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.kept) == (1, 1, 6, False)
+    none = quality.measure(docs.where("false"))
+    assert quality.judge(none).count() == 0 and quality.fit(none) == quality.BANDS
+    assert quality.repeated_words(np.array([5, 6, 7, 1, 5, 6, 7]), 1 << 40) == 6
 
 
 ENGLISH = """The city council voted on Tuesday to close two bridges over the river for repairs that are expected to last until spring.
@@ -223,15 +252,16 @@ def test_quality_bands_of_all_documents(spark):
     junk = " | | ".join(word() for _ in range(200))
     rows += [(2000 + k, junk, t) for k, t in enumerate(tags)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    bands = quality.fit(df)
-    assert bands == quality.fit(df.repartition(7)) and bands["en"][0] > quality.BANDS["latin"][0] and "fr" not in bands
-    out = {r.doc_id: r for r in quality.measure(df, bands=bands).collect()}
+    measured = quality.measure(df)
+    bands = quality.fit(measured)
+    assert bands == quality.fit(measured.repartition(7)) and bands["en"][0] > quality.BANDS["latin"][0] and "fr" not in bands
+    out = {r.doc_id: r for r in quality.judge(measured, bands).collect()}
     assert out[1000].chars_per_token > 2.9 and out[1100].chars_per_token > 2.9
     assert all(out[i].kept for i in out if 1000 <= i < 2000) and sum(out[i].kept for i in range(400)) >= 396
     assert not any(out[i].kept for i in out if i >= 2000)
     kept = {r.doc_id for r in quality.keep_good(df).collect()}
     assert kept == {i for i in out if out[i].kept}
-    assert quality.fit(df.where("doc_id >= 1000")) == quality.BANDS  # too few rows
+    assert quality.fit(measured.where("doc_id >= 1000")) == quality.BANDS  # too few rows
 
 
 def test_line_dedup(spark):
