@@ -4,12 +4,12 @@ Strong candidates (assignments, access identifiers, long hexadecimal runs) are r
 (a random-looking 40-character run; an endpoint) mean nothing alone. Access identifiers, secrets and endpoints
 become intervals of a scope - a paragraph and, around each identifier, REACH characters - and an interval join
 by start position pairs them; a weak candidate is reported only where a complementary part shares its scope:
-a random run with an access identifier or an endpoint plus identifier, an endpoint with an identifier or an assignment.
+a random run with an access identifier, an endpoint with an identifier or an assignment. Scopes are measured in code points.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start, then kind as listed in KINDS.
 
 Defined results: null and empty texts have no spans; equal rows get equal spans; existing columns of the
-outputs' names are replaced.
+outputs' names are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +31,16 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 RANDOM = re.compile(rb"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(rb"(?:https?|wss?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9_.:@/-]*[A-Za-z0-9_/-]")
-#: Characters on either side of a part in which its complement is looked for.
+#: Code points on either side of a part in which its complement is looked for.
 REACH = 200
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def near(parts: list[tuple[int, int]], start: int, end: int, breaks: list[int]) -> bool:
-    """Whether some part lies in the scope of start:end: within REACH, or in the same paragraph block."""
+Spans = list[tuple[int, int]]
+
+
+def near(parts: Spans, start: int, end: int, breaks: list[int]) -> bool:
+    """Whether some part lies in the scope of start:end: within REACH, or in the same paragraph block. Parts are ordered and apart."""
     block = bisect_left(breaks, start)
     low = min(start - REACH, breaks[block - 1] if block else 0)
     high = max(end + REACH, breaks[block]) if block < len(breaks) else sys.maxsize
@@ -49,43 +52,41 @@ def near(parts: list[tuple[int, int]], start: int, end: int, breaks: list[int])
     return False
 
 
-def overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+def overlaps(spans: Spans, start: int, end: int) -> bool:
     at = bisect_left(spans, (start, 0))
     return any(s < end and e > start for s, e in spans[max(0, at - 1) : at + 1])
 
 
-def byte_spans(raw: bytes) -> list[tuple[str, int, int]]:
-    lower = raw.lower()
-    assign = [(m.start(), m.end()) for m in ASSIGN.finditer(lower) if m.end() - m.start(1) >= 6]
-    access = [m.span() for m in ACCESS.finditer(raw)]
-    hexes = [m.span() for m in HEX.finditer(raw)]
-    out = [("assign", *s) for s in assign] + [("access", *s) for s in access] + [("hex", *s) for s in hexes]
-    if assign or access:
-        endpoints = [m.span() for m in ENDPOINT.finditer(raw)] if b"://" in raw else []
-        breaks = [m.start() for m in re.finditer(rb"\n\s*\n", raw)]
-        for s in endpoints:
-            if near(access, *s, breaks) or near(assign, *s, breaks):
-                out.append(("endpoint", *s))
-        if access:
-            for s in (m.span() for m in RANDOM.finditer(raw)):
-                word = raw[slice(*s)]
-                mixed = re.search(rb"[A-Z]", word) and re.search(rb"[a-z]", word) and re.search(rb"[0-9]", word)
-                if mixed and not overlaps(assign, *s) and not overlaps(hexes, *s) and near(access, *s, breaks):
-                    out.append(("paired", *s))
-    return out
+def mixed(word: bytes) -> bool:
+    return bool(re.search(rb"[A-Z]", word) and re.search(rb"[a-z]", word) and re.search(rb"[0-9]", word))
+
+
+def code_points(raw: bytes, cuts: set[int]) -> dict[int, int]:
+    """From places in bytes to places in code points, in one sweep."""
+    place, last, count = {}, 0, 0
+    for cut in sorted(cuts):
+        count += len(raw[last:cut].decode())
+        place[cut], last = count, cut
+    return place
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
-    """All spans of a text."""
+    """All spans of a text. Candidates are sought in its bytes and paired by code points."""
     raw = text.encode()
-    found = byte_spans(raw)
-    if found and len(raw) != len(text):  # from bytes to code points, in one sweep over the ends
-        place, last, count = {}, 0, 0
-        for cut in sorted({x for _, s, e in found for x in (s, e)}):
-            count += len(raw[last:cut].decode())
-            place[cut], last = count, cut
-        found = [(k, place[s], place[e]) for k, s, e in found]
-    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
+    assign: Spans = [(m.start(), m.end()) for m in ASSIGN.finditer(raw.lower()) if m.end() - m.start(1) >= 6]
+    access: Spans = [m.span() for m in ACCESS.finditer(raw)]
+    hexes: Spans = [m.span() for m in HEX.finditer(raw)]
+    endpoints: Spans = [m.span() for m in ENDPOINT.finditer(raw)] if (assign or access) and b"://" in raw else []
+    random: Spans = [s for s in (m.span() for m in RANDOM.finditer(raw)) if mixed(raw[slice(*s)])] if access else []
+    breaks = [m.start() for m in re.finditer(rb"\n\s*\n", raw)] if endpoints or random else []
+    if len(raw) != len(text):
+        place = code_points(raw, {x for some in (assign, access, hexes, endpoints, random) for s in some for x in s} | set(breaks))
+        assign, access, hexes, endpoints, random = ([(place[s], place[e]) for s, e in some] for some in (assign, access, hexes, endpoints, random))
+        breaks = [place[x] for x in breaks]
+    out = [(kind, *s) for kind, some in zip(KINDS, (assign, access, hexes), strict=False) for s in some]
+    out += [("endpoint", *s) for s in endpoints if near(access, *s, breaks) or near(assign, *s, breaks)]
+    out += [("paired", *s) for s in random if not overlaps(assign, *s) and not overlaps(hexes, *s) and near(access, *s, breaks)]
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def scan(df: DataFrame, text_col: str = "text", spans_col: str = "spans", drop: tuple[str, ...] = ()) -> DataFrame:
