@@ -77,10 +77,11 @@ class WordForest(ForestBPE):
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> Memo:
     """From words between ASCII white space to int32 strings of ids. White space is dropped by the tokenizer, and
-    nothing in it reaches across, so words are read one by one; plain ASCII words go through the forest."""
+    nothing in it reaches across, so words are read one by one; plain ASCII words go through the forest, and words with the string
+    of a special token to the library, which by default reads it as that token."""
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     forest = WordForest(path)
+    special = re.compile(b"|".join(re.escape(t.content.lower().encode()) for t in tokenizer.get_added_tokens_decoder().values())).search
     plain = re.compile(rb"[\x21-\x7e]{1,64}").fullmatch
     pieces = Memo(forest.ids, 1 << 18)
 
@@ -88,9 +89,8 @@ def word_ids(path: str) -> Memo:
         out: list[bytes] = [b""] * len(words)
         easy, rest, cuts = [], [], []
         for w, word in enumerate(words):
-            if plain(word):
+            if plain(word) and not special(low := word.lower()):
                 easy.append(w)
-                low = word.lower()
                 cuts.append([low] if low.isalpha() else CUT(low))
             elif word:
                 rest.append(w)

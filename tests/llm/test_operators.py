@@ -217,7 +217,8 @@ def test_secret_spans_by_brute_force(spark):
 
 def test_packing(docs):
     tokenizer = Tokenizer.from_file(packing.VOCABULARY)
-    tokenizer.encode_special_tokens = True
+    odd = ["<|endoftext|> hello", "a<|startoftext|>b <|ENDOFTEXT|>c", "x <|endoftext|><|endoftext|>é", "<|endof text|> \t"]
+    docs = docs.union(docs.sparkSession.createDataFrame([(900 + i, t, "q") for i, t in enumerate(odd)], docs.schema))
     rows = packing.pack(docs, capacity=128).collect()
     got, bins = {}, {}
     for r in rows:
