@@ -77,14 +77,42 @@ def test_exact_dedup(docs):
     for i, t in pairs(docs):
         groups.setdefault(lower(t), []).append(i)
     want = {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(docs, capacity=4).collect()}
-    assert got == want
+    for capacity in (1, 4, 10_000):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(docs, capacity=capacity).collect()}
+        assert got == want
     assert exact_dedup.dedup(empty(docs)).count() == 0
 
 
-def test_directory_splits():
-    depth, bucket = exact_dedup.directory([5, 0, 0, 9, 1, 1, 1, 1], 6)
-    assert depth == 3 and bucket == [0, 0, 1, 2, 3, 3, 3, 3]
+def test_exact_dedup_cases(spark):
+    rows = [(1, "a", "k"), (1, "A", "k"), (None, "n", "k"), (None, "N", "k"), (2, None, "k"), (3, "", "k"), (None, "a", "k"), (9, "É", "k"), (8, "é", "k")]
+    got = [tuple(r)[:4] for r in exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()]
+    want = [(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (None, None, 2, True), (None, None, 2, True), (2, 3, 2, False), (3, 3, 2, True), (9, 9, 1, True), (8, 8, 1, True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_exact_dedup_chains_colliding_keys(spark, docs, monkeypatch):
+    """With keys of two bits most texts collide; chains must tell them apart."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c, real=F.xxhash64: F.shiftleft(F.pmod(real(*c), F.lit(4)), 62))
+    groups = {}
+    for i, t in pairs(docs):
+        groups.setdefault(lower(t), []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(docs, capacity=1).collect()}
+    assert got == {i: (max(g), len(g)) for g in groups.values() for i in g}
+
+
+def test_directory_splits(spark):
+    done, over = exact_dedup.split({0: 5, 3: 9, 4: 1, 7: 3}, 0, 3, 6)
+    assert sorted(done) == [(1, 1), (2, 0), (3, 2)] and over == [3]
+    keys = [(5 << 56) + i for i in range(40)] + [i << 50 for i in range(-60, 60)]
+    buckets = exact_dedup.directory(spark, spark.createDataFrame([(k,) for k in keys], "key long"), 4)
+    place = {}
+    for k in keys:
+        own = [(d, p) for d, p in buckets if (k % (1 << 64)) >> (64 - d) == p]
+        assert len(own) == 1
+        place.setdefault(own[0], []).append(k)
+    assert max(map(len, place.values())) <= 4 and max(d for d, _ in buckets) > 56
+    spaces = sorted((p << (64 - d), 1 << (64 - d)) for d, p in buckets if d > 0)
+    assert all(a + n <= b for (a, n), (b, _) in zip(spaces, spaces[1:], strict=False))
 
 
 def brute_components(rows, n, percent):
