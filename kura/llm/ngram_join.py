@@ -37,7 +37,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: At most so many frequent tokens are sent to all tasks; with fewer than LEAST rows a token isn't frequent.
 MOST_FREQUENT, LEAST = 1 << 18, 24
 #: Members of a block's part; about LEADERS members stand in all parts of a block.
-PART, LEADERS = 4096, 16
+PART, LEADERS = 1024, 16
 #: Most tokens of the sets of a part, by which sets are decoded in one task.
 TOKENS = 1 << 23
 #: Bytes of the bitmaps of a block's members.

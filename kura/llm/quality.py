@@ -56,26 +56,24 @@ FIELDS = [
 ]
 
 
-@lru_cache(maxsize=2)
-def words_of(path: str) -> Memo:
-    """From words to int32 strings of piece ids."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return Memo(lambda words: [np.array(i, np.int32).tobytes() for i in model.encode([w.decode() for w in words], num_threads=1)])
+#: Numbers that stand before the piece ids of a word: its byte-level tokens, characters, letters of Latin script, letters.
+HEAD = 4
 
 
 @lru_cache(maxsize=2)
-def sizes_of(path: str) -> Memo:
-    """From words to their byte-level tokens, characters, letters of Latin script and letters."""
-    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
-
-    def learn(words: list[bytes]) -> list[tuple[int, int, int, int]]:
-        out = []
-        for w in words:
-            text = w.decode()
-            out.append((len(codec.encode_ordinary(text)), len(text), len(LATIN.findall(text)), sum(map(str.isalpha, text))))
+def words_of(path: str, byte_path: str) -> Memo:
+    """From words to int32 strings of HEAD and piece ids."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(byte_path), special_tokens={})
+
+    def learn(words: list[bytes]) -> list[bytes]:
+        texts, out = [w.decode() for w in words], []
+        for text, ids in zip(texts, model.encode(texts, num_threads=1), strict=True):
+            head = (len(codec.encode_ordinary(text)), len(text), len(LATIN.findall(text)), sum(map(str.isalpha, text)))
+            out.append(np.array([*head, *ids], np.int32).tobytes())
         return out
 
-    return Memo(learn)
+    return Memo(learn, 1 << 18)
 
 
 @lru_cache(maxsize=2)
@@ -139,17 +137,17 @@ def measure(df: DataFrame, text_col: str = "text", path: str = VOCABULARY, byte_
     """df with FIELDS."""
 
     def make():
-        memo, sizes, bytes_at = words_of(path), sizes_of(byte_path), byte_pieces(path)
+        memo, bytes_at = words_of(path, byte_path), byte_pieces(path)
 
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             distinct, at, bounds = coded(batch[text_col])
             found = list(map(memo.learn([distinct]), distinct))
             ids = np.frombuffer(b"".join(found), np.int32)
             ends = np.cumsum([len(f) // 4 for f in found], dtype=np.int64)
-            starts = ends - [len(f) // 4 for f in found]
-            as_bytes = np.concatenate([[0], np.cumsum((ids >= bytes_at[0]) & (ids <= bytes_at[1]))])
-            table = np.array(list(map(sizes.learn([distinct]), distinct)), np.int64).reshape(-1, 4)
-            table = np.column_stack([table, ends - starts, as_bytes[ends] - as_bytes[starts]])
+            starts = np.concatenate([[0], ends])[:-1] + HEAD
+            fallback_to = np.concatenate([[0], np.cumsum((ids >= bytes_at[0]) & (ids <= bytes_at[1]))])
+            heads = ids[starts[:, None] + np.arange(-HEAD, 0)] if found else np.zeros((0, HEAD))
+            table = np.column_stack([heads, ends - starts, fallback_to[ends] - fallback_to[starts]]).astype(np.int64)
             sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(table[at], axis=0)])[bounds]
             rows = []
             for text, a, b, (pieces_b, chars, latin, letters, tokens, fallback) in zip(texts_of(batch, text_col), bounds, bounds[1:], np.diff(sums, axis=0).tolist(), strict=False):
