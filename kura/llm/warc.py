@@ -1,15 +1,17 @@
 """WARC archives as a PySpark data source.
 
-Writing: each task streams its rows into one file of gzip members, one a record; the driver lists the files of the
-attempts that succeeded in a manifest, so what a lost or repeated task left is never read. Each member carries its
-own length in the gzip extra field, so a reader can step over it.
+Writing: each task streams its rows into one file of gzip members, one a record; with each commit the driver lists the files
+of the attempts that succeeded in a manifest of its own, so what a lost or repeated task left is never read and a later write
+adds to an earlier one. Mode overwrite deletes what the manifests before it list; a write that fails deletes its files. Each member
+carries its own length in the gzip extra field, so a reader can step over it.
 
 Reading: a partition for each file; record-type and header predicates are pushed down; headers are parsed
 from the first bytes of a member, and the rest of a record that isn't wanted is not decompressed. With
 option payload=false no payload is.
 
 Defined results: a null payload is written as an empty one; a null url or refers_to leaves its header out; control
-characters in a url are percent-encoded; an empty table gives an archive without records.
+characters in a url are percent-encoded; an empty table gives an archive without records; rows that share a page_id and a
+payload are each a response if that is the largest page_id; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
+from .common import materialize
+
 FORMAT = "kura_warc"
 MANIFEST = "_manifest"
 DATE = "2024-01-01T00:00:00Z"
@@ -67,8 +71,8 @@ class Written(WriterCommitMessage):
 class Writer(DataSourceArrowWriter):
     """Rows: kind, record_id, uri, refers_to, digest, payload."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = fs.FileSystem.from_uri(self.path)
@@ -84,8 +88,30 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         store, base = fs.FileSystem.from_uri(self.path)
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
+        old = manifests(store, base) if self.overwrite else []
+        with store.open_output_stream(f"{base}/{MANIFEST}-{uuid.uuid4().hex}", compression=None) as out:
             out.write("\n".join(m.name for m in messages if m).encode())
+        for path in old:
+            gone = listed(store, path)
+            store.delete_file(path)
+            for name in gone:
+                store.delete_file(f"{base}/{name}")
+
+    def abort(self, messages: list) -> None:
+        store, base = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m:
+                store.delete_file(f"{base}/{m.name}")
+
+
+def manifests(store: fs.FileSystem, base: str) -> list[str]:
+    found = store.get_file_info(fs.FileSelector(base))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST))
+
+
+def listed(store: fs.FileSystem, path: str) -> list[str]:
+    with store.open_input_stream(path, compression=None) as f:
+        return [x for x in f.read().decode().split("\n") if x]
 
 
 @dataclass
@@ -115,9 +141,8 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[File]:
         store, base = fs.FileSystem.from_uri(self.path)
-        if store.get_file_info(f"{base}/{MANIFEST}").type != fs.FileType.NotFound:
-            with store.open_input_stream(f"{base}/{MANIFEST}", compression=None) as f:
-                return [File(x) for x in f.read().decode().split("\n") if x]
+        if known := manifests(store, base):
+            return [File(x) for path in known for x in listed(store, path)]
         found = store.get_file_info(fs.FileSelector(base))
         return [File(x.base_name) for x in sorted(found, key=lambda x: x.base_name) if x.base_name.endswith(".warc.gz")]
 
@@ -222,7 +247,7 @@ class WarcSource(DataSource):
         return Reader(self.options["path"], self.options.get("payload", "true").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"])
+        return Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -230,19 +255,25 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def write(pages: DataFrame, path: str, html_col: str = "html", id_col: str = "page_id", url_col: str = "url", least: int = 1000) -> None:
-    """An archive at path: of equal payloads of at least least bytes, that of the largest id is the response."""
+def write(pages: DataFrame, path: str, html_col: str = "html", id_col: str = "page_id", url_col: str = "url", least: int = 1000, mode: str = "append") -> None:
+    """An archive at path: of equal payloads of at least least bytes, that of the largest id is the response. Payloads are dealt by id
+    and digest together, so copies of a page are in as many tasks as there are ids."""
     register(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("uri"), payload.alias("payload"))
-    rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    groups = rows.where("same is not null").groupBy("same").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first")
+    same = F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)).alias("same")
+    keys = rows.select("id", same).where("same is not null")
+    groups = keys.groupBy("same").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first")
+    groups = materialize(groups, "warc-groups")  # so that the join can split a group of many copies
+    answer = keys.join(groups, "same").where("first is not null and not (id <=> first)").distinct()  # of each revisit, without its payload
+    answer = answer.select(F.col("id").alias("again_id"), F.col("same").alias("again_same"), "first")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
-    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    out = rows.join(groups, "same", "left").select(
+    again = F.col("first").isNotNull()
+    held = rows.withColumn("same", same).join(answer, F.col("id").eqNullSafe(F.col("again_id")) & F.col("same").eqNullSafe(F.col("again_same")), "left")
+    out = held.select(
         F.when(again, "revisit").otherwise("response").alias("kind"), urn(F.col("id")).alias("record_id"), "uri", F.when(again, urn(F.col("first"))).alias("refers_to"), F.sha1("payload").alias("digest"), "payload"
     )
-    out.write.format(FORMAT).mode("append").save(path)
+    out.write.format(FORMAT).mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -441,6 +441,24 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, path, payload=False).where("payload is not null").count() == 0
 
 
+def test_warc_writes_add_up_or_replace(spark, tmp_path):
+    path, big = f"file://{tmp_path}/w", "x" * 1200
+    pages = lambda *rows: spark.createDataFrame(list(rows), "page_id long, url string, html string, same string")
+    ids = lambda: sorted(r.record_id for r in warc.read(spark, path).collect())
+    warc.write(pages((1, "http://a", "one", "k")), path)
+    warc.write(pages((2, "http://b", "two", "k"), (3, None, None, None)), path)
+    assert ids() == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    warc.write(pages((4, "u", big, "k"), (None, "u", big, "k"), (4, "u", big, "k"), (5, "u", big, "k")), path, mode="overwrite")
+    got = sorted((r.record_id, r.record_type, r.refers_to or "") for r in warc.read(spark, path).collect())
+    assert got == [("urn:page:", "revisit", "urn:page:5"), ("urn:page:4", "revisit", "urn:page:5"), ("urn:page:4", "revisit", "urn:page:5"), ("urn:page:5", "response", "")]
+    assert len([p for p in (tmp_path / "w").iterdir() if p.name.endswith(".gz")]) <= 4
+    warc.write(pages((1, "u", "t", "k")).where("false"), path, mode="overwrite")
+    assert ids() == []
+    written = warc.Writer(path, False).write(iter([]))
+    warc.Writer(path, False).abort([written, None])
+    assert not any(p.name == written.name for p in (tmp_path / "w").iterdir())
+
+
 def test_warc_plain_members(tmp_path):
     import gzip
     import io
