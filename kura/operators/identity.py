@@ -7,12 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kura.functions.text import fold_key
+from kura.functions.text import fold_key, normalize_text
 
 from .tables import redirect
 
 # What an upload may hold.
-MEDIA_TYPES = ["manga", "mixed", "novel", "unknown"]
+MEDIA_TYPES = ["manga", "novel"]
+CHOICES = {
+    "content_rating": ["unknown", "general", "protected_6", "guidance_12", "guidance_15", "restricted_18"],
+    "release_precision": ["unknown", "day", "month", "year"],
+    "release_status": ["unknown", "scheduled", "available"],
+    "rating_source": ["unknown", "publisher", "manual", "legacy"],
+    "release_date_source": ["unknown", "schedule", "product"],
+}
 REQUIRED = {"publisher_code": 100, "source_key": 190, "title": 500, "source_url": 1000}
 MOST_PRICE = 10_000_000
 MOST_UPLOAD = 200
@@ -72,25 +79,36 @@ def import_plan(rows: DataFrame, owned: DataFrame, valid: DataFrame, merges: Dat
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    """rows of strings with error, the first rule that a row breaks, else null.
+    """rows of strings with error, the first rule that a row breaks, else null. An empty media type is unknown, which is none that an
+    upload may hold; other empty choices are unknown, which is one.
 
-    Reads publisher_code, source_key, title, source_url, media_type, list_price, release_date and rating_confidence."""
+    Reads publisher_code, source_key, title, source_url, media_type, list_price, release_date and rating_confidence, and of CHOICES
+    the columns that rows has."""
     full = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    wrong = [(full(c) == "", f"{c} is required") for c in REQUIRED]
-    media = F.lower(full("media_type"))
+    need = lambda c: (full(c) == "", f"{c} is required")
+    choice = lambda c: [(~F.lower(full(c)).isin("", *CHOICES[c]), f"Invalid {c}")] if c in rows.columns else []
     price, date = F.nullif(full("list_price"), F.lit("")), F.nullif(full("release_date"), F.lit(""))
     share = F.nullif(full("rating_confidence"), F.lit(""))
-    wrong += [
-        ((media != "") & ~media.isin(MEDIA_TYPES), "Invalid media_type"),
+    wrong = [
+        need("publisher_code"), need("source_key"), need("title"),
+        (~F.lower(full("media_type")).isin(MEDIA_TYPES), "Invalid media_type"),
+        need("source_url"),
         (~full("source_url").rlike("^https?://[^/?#]+"), "source_url must be an http(s) URL"),
+        *choice("content_rating"),
         (price.isNotNull() & ~price.rlike("^[+-]?[0-9]+$"), "list_price must be an integer"),
         (price.isNotNull() & ~F.coalesce(price.try_cast("decimal(38,0)").between(0, MOST_PRICE), F.lit(False)), "list_price is outside the accepted range"),
         (share.isNotNull() & ~share.rlike("^[+-]?[0-9]+$"), "rating_confidence must be an integer"),
         (date.isNotNull() & F.substring(date, 1, 10).try_cast("date").isNull() | date.isNotNull() & ~date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "release_date must use YYYY-MM-DD"),
-    ]
+        *choice("release_precision"), *choice("release_status"), *choice("rating_source"), *choice("release_date_source"),
+    ]
     return rows.withColumn("error", reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(wrong), F.lit(None).cast("string")))
 
 
+def fitted(rows: DataFrame) -> DataFrame:
+    """rows with each required text normalised and cut to what the catalog holds; an empty one is null."""
+    return rows.withColumns({c: F.nullif(F.left(normalize_text(F.col(c)), F.lit(n)), F.lit("")) for c, n in REQUIRED.items()})
+
+
 def batches_without_errors(rows: DataFrame, batch: str = "batch", most: int = MOST_UPLOAD) -> DataFrame:
     """batch, n_items, n_errors and accepted: a batch is taken whole or not at all, and not beyond most rows."""
     out = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n_items"), F.count("error").alias("n_errors"))

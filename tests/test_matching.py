@@ -37,10 +37,18 @@ def test_sole_match_and_gate(spark):
     got = {r.n: r.matched_id for r in identity.sole_match(incoming, catalog, "id", [["t"], ["s"]]).collect()}
     assert got == {10: 1, 11: None, 12: None, 13: None}
     base = {"publisher_code": "a", "source_key": "k", "title": "t", "source_url": "https://a/b", "media_type": "manga", "list_price": "1", "release_date": "2030-01-01", "rating_confidence": "5"}
-    cases = [({}, None), ({"title": " "}, "title is required"), ({"media_type": "dvd"}, "Invalid media_type"), ({"source_url": "https:///x"}, "source_url must be an http(s) URL"), ({"list_price": "1.5"}, "list_price must be an integer"), ({"list_price": "9" * 60}, "list_price is outside the accepted range"), ({"release_date": "2030-13-01"}, "release_date must use YYYY-MM-DD"), ({"rating_confidence": "x"}, "rating_confidence must be an integer")]
+    cases = [({}, None), ({"title": " "}, "title is required"), ({"media_type": "dvd"}, "Invalid media_type"), ({"media_type": "mixed"}, "Invalid media_type"), ({"media_type": ""}, "Invalid media_type"), ({"media_type": "", "source_url": ""}, "Invalid media_type"), ({"title": "t" * 501}, None), ({"source_url": "https:///x"}, "source_url must be an http(s) URL"), ({"list_price": "1.5"}, "list_price must be an integer"), ({"list_price": "9" * 60}, "list_price is outside the accepted range"), ({"release_date": "2030-13-01"}, "release_date must use YYYY-MM-DD"), ({"rating_confidence": "x"}, "rating_confidence must be an integer")]
     rows = spark.createDataFrame([tuple((base | c).values()) for c, _ in cases], ", ".join(f"{k} string" for k in base)).coalesce(1)
     assert [r.error for r in identity.checked(rows).collect()] == [e for _, e in cases]
-    assert [tuple(r) for r in identity.batches_without_errors(identity.checked(rows).withColumn("batch", F.lit(1))).collect()] == [(1, 8, 7, False)]
+    assert [tuple(r) for r in identity.batches_without_errors(identity.checked(rows).withColumn("batch", F.lit(1))).collect()] == [(1, 12, 10, False)]
+
+
+def test_choices_and_lengths(spark):
+    base = {"publisher_code": "a", "source_key": "k", "title": "Ｔ " + "t" * 600, "source_url": "https://a/b", "media_type": "Novel", "list_price": "", "release_date": None, "rating_confidence": None, "release_status": "", "rating_source": "publisher"}
+    rows = [base, base | {"release_status": "gone"}, base | {"rating_source": "hearsay", "release_status": "SCHEDULED "}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} string" for k in base)).coalesce(1)
+    assert [r.error for r in identity.checked(df).collect()] == [None, "Invalid release_status", "Invalid rating_source"]
+    assert identity.fitted(df).first().title == "T " + "t" * 498
 
 
 def test_folds(spark):
