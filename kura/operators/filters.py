@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from operator import and_, or_
 
@@ -75,13 +77,62 @@ def relevance(query: str, title: Column, series: Column) -> list[Column]:
     return [(F.lower(title) == q).cast("int").desc(), F.startswith(F.lower(title), F.lit(q)).cast("int").desc(), (F.lower(series) == q).cast("int").desc()]
 
 
-def missing(kind: str, column: Column) -> Column:
+CODE = "[A-Za-z0-9_-]{1,64}"
+
+
+def publishers(chosen: str, single: str, code: Column) -> Column:
+    """The multi-select where it is given, else the one code; codes are checked by form."""
+    chosen = chosen or single
+    if chosen != "none" and not all(re.fullmatch(CODE, c) for c in chosen.split(",") if c):
+        raise ValueError(chosen)
+    return one_of(chosen, code)
+
+
+def status(chosen: str, column: Column, date: Column) -> Column:
+    """A release status; scheduled_undated is scheduled without a date."""
+    if chosen == "scheduled_undated":
+        return (column == "scheduled") & date.isNull()
+    return column == chosen if chosen else F.lit(True)
+
+
+def owned_format(chosen: str, column: Column) -> Column:
+    if chosen not in ("", "paper", "digital", "both"):
+        raise ValueError(chosen)
+    return column == chosen if chosen else F.lit(True)
+
+
+def terms(query: str, most: int = 8) -> list[str]:
+    """The first terms of a query, normalised and folded."""
+    return " ".join(unicodedata.normalize("NFKC", query).split()).casefold().split()[:most]
+
+
+def search_any_accent(query: str, columns: list[Column], isbn: Column | None = None) -> Column:
+    """Every term is in some column, whatever the case, accent or width. In the ISBN a term is sought without its hyphens where
+    nothing but letters and digits is left of it."""
+    found = []
+    for term in terms(query):
+        own = [F.contains(F.collate(F.coalesce(c, F.lit("")), "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI")) for c in columns]
+        bare = term.replace("-", "")
+        if isbn is not None:
+            own.append(F.contains(F.lower(F.coalesce(isbn, F.lit(""))), F.lit(bare if bare.isalnum() else term)))
+        found.append(reduce(or_, own))
+    return reduce(and_, found, F.lit(True))
+
+
+def trusted_general(rating: Column, confidence: Column, source: Column, locked: Column, checked: Column, version: Column, code: Column, versions: dict[str, str]) -> Column:
+    """A proven general rating: by the publisher's page with that publisher's own parser version, or locked by hand. Null proves nothing."""
+    own = F.try_element_at(F.create_map(*[F.lit(x) for pair in versions.items() for x in pair]), code)
+    page = (source == "publisher") & checked.isNotNull() & (version == own)
+    return F.coalesce((rating == "general") & (confidence == 100) & (page | (source == "manual") & locked), F.lit(False))
+
+
+def missing(kind: str, column: Column, since: str = "2010-01-01") -> Column:
     """Quality tests for an absent text, an absent date, or a suspicious date."""
     if kind == "text":
         return column.isNull() | (column == "")
     if kind == "date":
         return column.isNull()
-    return column < F.lit("2010-01-01").cast("timestamp_ntz")
+    return column < F.lit(since).cast("timestamp_ntz")
 
 
 def between(column: Column, low: str, high: str) -> Column:

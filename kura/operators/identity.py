@@ -17,7 +17,7 @@ CHOICES = {
     "content_rating": ["unknown", "general", "protected_6", "guidance_12", "guidance_15", "restricted_18"],
     "release_precision": ["unknown", "day", "month", "year"],
     "release_status": ["unknown", "scheduled", "available"],
-    "rating_source": ["unknown", "publisher", "manual", "legacy"],
+    "rating_source": ["unknown", "publisher", "category"],
     "release_date_source": ["unknown", "schedule", "product"],
 }
 REQUIRED = {"publisher_code": 100, "source_key": 190, "title": 500, "source_url": 1000}

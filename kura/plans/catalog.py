@@ -18,6 +18,7 @@ from kura.sources import pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULE: dict[str, str] = {}
 TODAY = "1998-06-15"
 LIT = lambda s: F.lit(s).cast("timestamp_ntz")
 
@@ -25,6 +26,7 @@ LIT = lambda s: F.lit(s).cast("timestamp_ntz")
 def query(sql: str | None):
     def keep(fn):
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        MODULE[fn.__name__] = fn.__module__
         if sql:
             ORACLES[fn.__name__] = sql
         return fn
