@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation of what is above."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kura_path = path
     return out

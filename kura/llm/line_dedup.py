@@ -253,7 +253,7 @@ def align(found: DataFrame, min_words: int) -> DataFrame:
 
 
 def deletions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """doc, row and the blocks (start, stop: ranks among the lines with words; pile of the alignment) that go."""
+    """doc, row and gone: the blocks that go (start, stop: ranks among the lines with words; pile of the alignment)."""
     own = materialize(lines(df, text_col, id_col, min_words).distinct(), "line-hashes")  # rows equal in id and text once
     held = materialize(own.groupBy("line", "line2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("last <> first").select("line", "line2", "n"), "line-counts")
     found = materialize(evidence(own.join(held, ["line", "line2"]), min_words, rare), "line-evidence")
@@ -262,7 +262,10 @@ def deletions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min
     blocks = found.where("not rare").select("key", "key2", "doc", "row", "start", "stop")
     first = materialize(blocks.groupBy("key", "key2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last <> first").drop("last"), "line-blocks")
     frequent = blocks.join(first, ["key", "key2"]).where("doc > first").select("doc", "row", "start", "stop", F.lit(0).alias("pile"))
-    return pairs.unionByName(frequent)
+    out = pairs.unionByName(frequent).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "stop", "pile")).alias("gone"))
+    out = materialize(out, "line-deletions")
+    release(found, first)
+    return out
 
 
 def cut(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
@@ -291,7 +294,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, removed_col: str = "n_removed", rare: int = RARE) -> DataFrame:
     """df with shortened texts and removed_col, the number of lines that went."""
-    spans = deletions(df, text_col, id_col, min_words, rare).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    spans = deletions(df, text_col, id_col, min_words, rare)
     own = df.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(df.columns) if c != removed_col])
     columns = [c for c in df.columns if c != removed_col]
     text, doc = (own.columns[columns.index(c)] for c in (text_col, id_col))

@@ -429,7 +429,9 @@ def join_unique(df: DataFrame, text_col: str, id_col: str, n: int, percent: int)
     total = first.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     least = max(LEAST, -(-total // MOST_FREQUENT))  # so at most MOST_FREQUENT tokens
     heavy = np.sort(np.array([r[0] for r in counts.where(F.col("count") >= least).select("token").collect()], np.int64).view(np.uint64))
-    full = first.where("doc_id is not null and size > 0")
+    rows = materialize(first.select("doc_id", "size", "key", "key2"), "ngram-rows")
+    release(first)
+    full = rows.where("doc_id is not null and size > 0")
     classes = materialize(full.groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size")), "ngram-classes")
     every = profile(docs, n, percent, spark.sparkContext.broadcast(heavy))
     profiles = materialize(every.join(classes.select("doc_id"), "doc_id", "left_semi"), "ngram-profiles")  # a document of each class
@@ -445,13 +447,14 @@ def join_unique(df: DataFrame, text_col: str, id_col: str, n: int, percent: int)
     if hot.take(1):
         more = materialize(rest_blocks(hot, components(links)), "ngram-rest")
         links = links.union(linked_pairs(more, owned, texts, n, percent))
-    release(texts)
+    links = materialize(links, "ngram-links")
+    release(texts, owned, members)
+    tidy(spark)
     node = classes.select("key", "doc_id")
     edges = links.join(node.withColumnsRenamed({"key": "a", "doc_id": "x"}), "a").join(node.withColumnsRenamed({"key": "b", "doc_id": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(edges)
     named = classes.join(label, classes["doc_id"] == label["node"], "left").select("key", "key2", F.coalesce("component", "doc_id").alias("component"))
-    rows = first.select("doc_id", F.col("size").alias("n_shingles"), "key", "key2")
-    return rows.join(named, ["key", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.withColumnRenamed("size", "n_shingles").join(named, ["key", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def linked_pairs(members: DataFrame, owned: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
