@@ -28,3 +28,8 @@ def recheck_days(date: Column, today: Column) -> Column:
 
 def backoff_days(failures: Column) -> Column:
     return F.least(F.pow(F.lit(2), F.least(failures - 1, F.lit(3))), F.lit(7)).cast("int")
+
+
+def one_year_before(date: Column) -> Column:
+    """The same day a year earlier; of February 29 the 28."""
+    return F.add_months(date, -12)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kura.functions import text
 from kura.operators import filters, series, tables
-from kura.plans import catalog, matching, reads  # noqa: F401 - add queries to catalog
+from kura.plans import catalog, matching, reads, writes  # noqa: F401 - add queries to catalog
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
