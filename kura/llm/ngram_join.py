@@ -435,14 +435,17 @@ def join_unique(df: DataFrame, text_col: str, id_col: str, n: int, percent: int)
     classes = materialize(full.groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size")), "ngram-classes")
     every = profile(docs, n, percent, spark.sparkContext.broadcast(heavy))
     profiles = materialize(every.join(classes.select("doc_id"), "doc_id", "left_semi"), "ngram-profiles")  # a document of each class
+    tidy(spark)
     tokens = dealt(profiles)
     members = materialize(blocks(tokens, percent).withColumn("component", F.lit(None).cast("long")), "ngram-blocks")
     hot = materialize(tokens.where("parts > 1").select("token", "parts", "key").distinct(), "ngram-hot-tokens")
+    tidy(spark)
     used = members.select("key").distinct()
     owned = materialize(profiles.select("doc_id", "key", "size", "prints").join(used, "key"), "ngram-prints")
     release(profiles)
     tidy(spark)
     texts = materialize(docs.join(owned.select("doc_id", "key"), "doc_id").select("key", "text"), "ngram-texts")
+    tidy(spark)
     links = linked_pairs(members, owned, texts, n, percent)
     if hot.take(1):
         more = materialize(rest_blocks(hot, components(links)), "ngram-rest")
