@@ -63,16 +63,20 @@ def budget_window(df: DataFrame, keys: list[str], order: list[str], time: str, c
 
     def start() -> Callable[[float | None, int | None], int]:
         buckets: dict[int, tuple[float, int]] = {}  # oldest first
+        spent = 0
 
         def step(now: float | None, price: int | None) -> int:
+            nonlocal spent
             if now is None:
                 return math.ceil(seconds)
-            for b in [b for b, (latest, _) in buckets.items() if now - latest >= seconds]:
-                del buckets[b]
-            over = sum(amount for _, amount in buckets.values()) + (price or 0) - limit
+            while buckets and now - (oldest := next(iter(buckets.values())))[0] >= seconds:
+                spent -= oldest[1]
+                del buckets[next(iter(buckets))]
+            over = spent + (price or 0) - limit
             if over <= 0:
                 here = int(now // width)
                 buckets[here] = (now, buckets.get(here, (now, 0))[1] + (price or 0))
+                spent += price or 0
                 return 0
             for latest, amount in buckets.values():
                 over -= amount

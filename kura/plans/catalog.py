@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kura.functions import text
-from kura.operators import filters, release, series, tables
+from kura.operators import filters, release, series, shelf, tables
 from kura.sources import pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,45 +67,35 @@ def group_total(t):
     return t("part").select("p_brand", "p_type").distinct().agg(F.count(F.lit(1)).alias("groups"))
 
 
-def _same_series(t, orders):
-    own = orders.join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id")).distinct()
-    seeds = own.join(t("part"), F.col("book_id") == F.col("p_partkey")).select("user_id", "p_brand", "p_type").distinct()
-    return seeds.join(t("part"), ["p_brand", "p_type"]).select("user_id", F.col("p_partkey").alias("book_id")).join(own, ["user_id", "book_id"], "left_anti")
+MOST = 30
 
 
-@query("""
-WITH own AS (SELECT DISTINCT o_custkey AS u, l_partkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 40),
-s AS (SELECT DISTINCT u, p_brand, p_type FROM own JOIN part ON p_partkey = k)
-SELECT u AS user_id, p_partkey AS book_id FROM s JOIN part USING (p_brand, p_type) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.u = s.u AND own.k = p_partkey)
+@query(f"""
+WITH own AS (SELECT DISTINCT o_custkey AS u, l_partkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT DISTINCT u, p_brand, p_type FROM own JOIN part ON p_partkey = k), r AS (SELECT u, p_partkey FROM s JOIN part USING (p_brand, p_type) WHERE (u, p_partkey) NOT IN (SELECT u, k FROM own))
+SELECT u AS user_id, p_partkey AS book_id FROM r QUALIFY row_number() OVER (PARTITION BY u ORDER BY p_partkey DESC) <= {MOST}
 """)
 def recs_same_series(t):
-    return _same_series(t, t("orders").where("o_custkey < 40"))
-
-
-@query(None)
-def recs_same_series_all(t):
-    """recs_same_series for every user."""
-    return _same_series(t, t("orders"))
-
-
-def _same_author(t, seeds):
-    a, b = seeds.alias("a"), t("part").alias("b")
-    rest = (F.col("a.p_partkey") != F.col("b.p_partkey")) & ~((F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")))
-    return a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & rest).select(F.col("a.p_partkey").alias("seed_id"), F.col("b.p_partkey").alias("book_id")).distinct()
-
-
-@query("""
-SELECT DISTINCT a.p_partkey AS seed_id, b.p_partkey AS book_id FROM part a JOIN part b ON a.p_name = b.p_name
-WHERE a.p_partkey < 60 AND a.p_partkey <> b.p_partkey AND NOT (a.p_brand = b.p_brand AND a.p_type = b.p_type)
+    """The latest MOST books of the series of which a user owns some. Of a series no more are looked at than MOST and those owned."""
+    own = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id")).distinct()
+    seeds = own.join(t("part"), F.col("book_id") == F.col("p_partkey")).groupBy("user_id", "p_brand", "p_type").agg(F.count(F.lit(1)).alias("owned"))
+    place = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy(F.col("p_partkey").desc()))
+    books = t("part").select("p_brand", "p_type", F.col("p_partkey").alias("book_id"), place.alias("place"))
+    rows = seeds.join(books, ["p_brand", "p_type"]).where(F.col("place") <= MOST + F.col("owned")).select("user_id", "book_id").join(own, ["user_id", "book_id"], "left_anti")
+    return shelf.first_of_each(rows, ["user_id"], [F.col("book_id").desc()], MOST).drop("position")
+
+
+@query(f"""
+WITH r AS (SELECT a.p_partkey AS seed_id, b.p_partkey AS book_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey AND NOT (a.p_brand = b.p_brand AND a.p_type = b.p_type))
+SELECT seed_id, book_id FROM r QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY book_id DESC) <= {MOST}
 """)
 def recs_same_author(t):
-    return _same_author(t, t("part").where("p_partkey < 60"))
-
-
-@query(None)
-def recs_same_author_all(t):
-    """recs_same_author for every seed book."""
-    return _same_author(t, t("part"))
+    """The latest MOST books of a seed's author in other series. Of each series of an author the first MOST can count, no more."""
+    place = F.row_number().over(Window.partitionBy("p_name", "p_brand", "p_type").orderBy(F.col("p_partkey").desc()))
+    a, b = t("part").alias("a"), t("part").withColumn("place", place).where(F.col("place") <= MOST).alias("b")
+    rest = ~(F.col("a.p_brand").eqNullSafe(F.col("b.p_brand")) & F.col("a.p_type").eqNullSafe(F.col("b.p_type")))
+    rows = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & rest).select(F.col("a.p_partkey").alias("seed_id"), F.col("b.p_partkey").alias("book_id"))
+    return shelf.first_of_each(rows, ["seed_id"], [F.col("book_id").desc()], MOST).drop("position")
 
 
 def _recs_merged(t, orders):
@@ -118,18 +108,12 @@ def _recs_merged(t, orders):
 @query("""
 WITH e AS (SELECT o_custkey AS user_id, p_brand, CASE o_orderstatus WHEN 'F' THEN 110 WHEN 'O' THEN 95 ELSE 70 END + CASE WHEN l_quantity > 40 THEN 12 ELSE 0 END AS score,
 CASE o_orderstatus WHEN 'F' THEN 'series' WHEN 'O' THEN 'followed' ELSE 'author' END AS reason, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, o_orderkey, l_linenumber, l_partkey
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 100),
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
 w AS (SELECT *, row_number() OVER (PARTITION BY user_id, p_brand ORDER BY rank, o_orderkey, l_linenumber, l_partkey) AS n, count(*) OVER (PARTITION BY user_id, p_brand) AS c,
 first_value(reason) OVER (PARTITION BY user_id, p_brand ORDER BY score DESC, rank, o_orderkey, l_linenumber, l_partkey) AS best FROM e)
 SELECT user_id, p_brand, CAST(score + 2 * (c - 1) AS BIGINT) AS score, best AS reason FROM w WHERE n = 1
 """)
 def recs_merged(t):
-    return _recs_merged(t, t("orders").where("o_custkey < 100"))
-
-
-@query(None)
-def recs_merged_all(t):
-    """recs_merged for every user."""
     return _recs_merged(t, t("orders"))
 
 
@@ -402,15 +386,9 @@ def _follow_fanout(t, orders):
     return tables.drop_keys(follows.join(t("part"), "p_brand").select("user_id", F.col("p_partkey").alias("book_id")), owned, ["user_id", "book_id"])
 
 
-@query("""WITH u AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 30) SELECT u.o_custkey AS user_id, p_partkey AS book_id FROM u JOIN part ON p_brand = 'Brand#' || (u.o_custkey % 25)
+@query("""WITH u AS (SELECT DISTINCT o_custkey FROM orders) SELECT u.o_custkey AS user_id, p_partkey AS book_id FROM u JOIN part ON p_brand = 'Brand#' || (u.o_custkey % 25)
 WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders o2 ON l_orderkey = o2.o_orderkey WHERE o2.o_custkey = u.o_custkey AND l_partkey = p_partkey)""")
 def follow_fanout(t):
-    return _follow_fanout(t, t("orders").where("o_custkey < 30"))
-
-
-@query(None)
-def follow_fanout_all(t):
-    """follow_fanout for every follower."""
     return _follow_fanout(t, t("orders"))
 
 

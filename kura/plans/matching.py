@@ -86,19 +86,19 @@ def _timed(t):
 
 @query(None)
 def rate_limit(t):
-    return folds.sliding_window(_timed(t), ["event_type"], ["at", "event_id"], "at", 20, 86400).select("event_id", "retry_after")
+    return folds.sliding_window(_timed(t), ["user_id"], ["at", "event_id"], "at", 3, 86400).select("event_id", "retry_after")
 
 
 @query(None)
 def read_budget(t):
     rows = _timed(t).withColumn("cost", (F.col("event_id") % 3 + 1).cast("long"))
-    return folds.budget_window(rows, ["event_type"], ["at", "event_id"], "at", "cost", 60, 86400, 3600).select("event_id", "retry_after")
+    return folds.budget_window(rows, ["user_id"], ["at", "event_id"], "at", "cost", 6, 86400, 3600).select("event_id", "retry_after")
 
 
 @query(None)
 def load_shedding(t):
     rows = _timed(t).withColumn("bad", F.col("value") > 30)
-    return folds.circuit_breaker(rows, ["event_type"], ["at", "event_id"], "at", "bad", 3, 3600, 1200).select("event_id", "shed")
+    return folds.circuit_breaker(rows, ["user_id"], ["at", "event_id"], "at", "bad", 3, 86400, 43200).select("event_id", "shed")
 
 
 @query(None)

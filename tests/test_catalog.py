@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kura.functions import text
 from kura.operators import filters, series, tables
-from kura.plans import catalog, matching, reads, writes  # noqa: F401 - add queries to catalog
+from kura.plans import catalog, crawls, matching, reads, writes  # noqa: F401 - add queries to catalog
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -28,21 +28,6 @@ def test_sql(spark, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(catalog.ORACLES[name]).df())
 
 
-@needs_data
-@pytest.mark.parametrize(
-    ("name", "subset"),
-    [("recs_same_series", " WHERE o_custkey < 40"), ("recs_same_author", "a.p_partkey < 60 AND "), ("recs_merged", " WHERE o_custkey < 100"), ("follow_fanout", " WHERE o_custkey < 30")],
-)
-def test_whole_tables(spark, name, subset):
-    con = duckdb.connect()
-    for t in "part orders lineitem".split():
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    assert subset in catalog.ORACLES[name]
-    want = rows(con.sql(catalog.ORACLES[name].replace(subset, "")).df())
-    assert rows(catalog.QUERIES[f"{name}_all"](spark, SF).toPandas()) == want
-    assert len(want) > catalog.QUERIES[name](spark, SF).count()
-
-
 BOOKS = [(1, "general", None), (2, "general", "BL漫畫"), (3, "restricted_18", ""), (4, "restricted_18", "BL小說"), (5, "unknown", None), (6, None, "BL小說"), (7, "guidance_15", ""), (8, "guidance_15", "BL")]
 
 
