@@ -6,7 +6,8 @@ label. Sum-product messages go up from the leaves and down from the root, and gi
 being content. The tables are counted on labelled pages, which `labelled_pages` lays out from the
 common parts of web pages. Text of a node is kept where its marginal is at least one half.
 
-What no reader sees (scripts, styles, templates, the head) and form controls never count as text. Blocks come in page
+What no reader sees (scripts, styles, templates, titles), fallbacks (noscript, iframe) and the content of a textarea never count as
+text; formulas, drawings' labels and objects are text of their block, and other form controls are judged as any node. Blocks come in page
 order, white space inside a block (also of a line break or a no-break space) becomes one space, blocks are joined by \\n.
 
 Defined results: null and empty pages give an empty text; broken markup is read as far as it goes, open elements
@@ -30,9 +31,12 @@ from .common import texts_of, with_columns
 
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-RAW = frozenset("script style noscript template textarea title svg iframe math object".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder mstyle svg g text tspan object".split()
+)
 #: An element that ends those open ones of its kind, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 KINDS = {

@@ -1,14 +1,14 @@
-"""Best-fit packing: bulk-synchronous best-fit decreasing of token pieces into sequences.
+"""Best-fit packing: best-fit decreasing of token pieces into sequences, by classes of equal size.
 
-Pieces and gaps are ranged by size. Each round takes the longest pieces left and sweeps the gaps from the size just
-sufficient upward (the successor); of the pieces and gaps that meet, the r-th piece takes the r-th gap, so ranks
-settle every conflict; the filled gaps go back at their new size and the next round begins. A size is an integer of
-at most `capacity`, so a round is about classes (size, run of sequences), not rows: the plan has at most a
-few thousand runs however many documents there are. Rows then find their place by (length, rank), the rank
-being that of the row among all pieces of its length: counts by task and length, summed, plus a rank in the task.
+Pieces and gaps are classes: an integer size of at most `capacity` and a run of ranks or of sequences. Classes of pieces are taken from
+the longest down; each looks up its successor, the class of the least sufficient gaps, and the r-th piece takes the r-th gap, so ranks
+settle every conflict; the gaps that are left go back at their new size and the next class follows. These rounds are about classes, not
+rows: the plan has at most a few thousand runs however many documents there are, and is made on the driver. It gives what sweeps over
+range-sorted rows would give. Rows then find their place by (length, rank), the rank being that of the row among all pieces of its
+length: counts by task and length, summed, plus a rank in the task.
 
 Defined results: a null or empty text is one piece (its end token); repeated rows are packed each for itself;
-an empty table gives no rows. Only documents longer than capacity are cut.
+an empty table gives no rows; other columns aren't read. Only documents longer than capacity are cut.
 """
 
 from __future__ import annotations

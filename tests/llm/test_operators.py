@@ -513,6 +513,18 @@ def test_html(spark):
     assert {r.page_id: r.n_chars for r in html_extract.extract(df).collect()}[2] == 0
 
 
+def test_html_keeps_formulas_and_labels():
+    body = "<p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is shown, and <svg><g><text>label</text></g></svg> too. It is long enough to read.</p>"
+    text = html_extract.main_text(f"<html><body><nav><a href=/>Home</a></nav><article><h1>A title</h1>{body}<p>Another sentence of the article. It goes on.</p></article><footer>(c) x</footer></body></html>")
+    assert text == "A title\nThe sum x+1 is shown, and label too. It is long enough to read.\nAnother sentence of the article. It goes on."
+
+
+def test_html_cases(spark):
+    df = spark.createDataFrame([(1, "<article><p>One sentence here. Two.</p></article>", "old", 5)], "page_id long, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract(df, drop=("html",)).collect()] == [(1, "One sentence here. Two.", 23)]
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
 def test_html_held_out_nodes():
     model, good, n = html_extract.trained(), 0, 0
     for page in html_extract.labelled_pages(60, seed=123):
