@@ -361,7 +361,7 @@ def csv_rows(t):
     return rows.select("id", F.concat(F.substring_index(line, ",", 2), F.lit(",")).alias("head"))
 
 
-@query(with_shop("""SELECT b.id, 'BEGIN:VEVENT|UID:book-' || b.id || '@local|DTSTART;VALUE=DATE:' || strftime(release_date, '%Y%m%d') || '|SUMMARY:' || title || '\\, x\;|DESCRIPTION:' || p.name || ' / ' || coalesce(nullif(author, ''), '作者未提供') || '|URL:https://x/' || b.id || '|END:VEVENT' AS event FROM books b JOIN publishers p ON p.id = b.publisher_id WHERE release_date IS NOT NULL""", "books", "publishers"))
+@query(with_shop("""SELECT b.id, 'BEGIN:VEVENT|UID:book-' || b.id || '@local|DTSTART;VALUE=DATE:' || strftime(release_date, '%Y%m%d') || '|SUMMARY:' || title || '\\, x\\;|DESCRIPTION:' || p.name || ' / ' || coalesce(nullif(author, ''), '作者未提供') || '|URL:https://x/' || b.id || '|END:VEVENT' AS event FROM books b JOIN publishers p ON p.id = b.publisher_id WHERE release_date IS NOT NULL""", "books", "publishers"))
 def calendar_events(t):
     names = shop(t, "publishers").select(F.col("id").alias("publisher_id"), F.col("name").alias("publisher_name"))
     rows = shop(t, "books").join(names, "publisher_id").withColumns({"title": F.concat("title", F.lit(", x;")), "source_url": F.concat(F.lit("https://x/"), F.col("id").cast("string"))})
