@@ -14,6 +14,7 @@ an empty table gives no rows; other columns aren't read. Only documents longer t
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -81,7 +82,8 @@ def word_ids(path: str) -> Memo:
     of a special token to the library, which by default reads it as that token."""
     tokenizer = Tokenizer.from_file(path)
     forest = WordForest(path)
-    special = re.compile(b"|".join(re.escape(t.content.lower().encode()) for t in tokenizer.get_added_tokens_decoder().values())).search
+    strings = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    special, mark = re.compile(b"|".join(map(re.escape, strings))).search, os.path.commonprefix(strings)
     plain = re.compile(rb"[\x21-\x7e]{1,64}").fullmatch
     pieces = Memo(forest.ids, 1 << 18)
 
@@ -89,7 +91,7 @@ def word_ids(path: str) -> Memo:
         out: list[bytes] = [b""] * len(words)
         easy, rest, cuts = [], [], []
         for w, word in enumerate(words):
-            if plain(word) and not special(low := word.lower()):
+            if plain(word) and (mark not in (low := word.lower()) or not special(low)):
                 easy.append(w)
                 cuts.append([low] if low.isalpha() else CUT(low))
             elif word:
