@@ -67,35 +67,36 @@ def group_total(t):
     return t("part").select("p_brand", "p_type").distinct().agg(F.count(F.lit(1)).alias("groups"))
 
 
-MOST = 30
+# How many books a source gives to a user's list (60 shown) and to a book's page (8 shown).
+PER_USER, PER_SEED = 6 * 60, 4 * 8
 
 
 @query(f"""
 WITH own AS (SELECT DISTINCT o_custkey AS u, l_partkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 s AS (SELECT DISTINCT u, p_brand, p_type FROM own JOIN part ON p_partkey = k), r AS (SELECT u, p_partkey FROM s JOIN part USING (p_brand, p_type) WHERE (u, p_partkey) NOT IN (SELECT u, k FROM own))
-SELECT u AS user_id, p_partkey AS book_id FROM r QUALIFY row_number() OVER (PARTITION BY u ORDER BY p_partkey DESC) <= {MOST}
+SELECT u AS user_id, p_partkey AS book_id FROM r QUALIFY row_number() OVER (PARTITION BY u ORDER BY p_partkey DESC) <= {PER_USER}
 """)
 def recs_same_series(t):
-    """The latest MOST books of the series of which a user owns some. Of a series no more are looked at than MOST and those owned."""
+    """The latest PER_USER books of the series of which a user owns some. Of a series no more are looked at than PER_USER and those owned."""
     own = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id")).distinct()
     seeds = own.join(t("part"), F.col("book_id") == F.col("p_partkey")).groupBy("user_id", "p_brand", "p_type").agg(F.count(F.lit(1)).alias("owned"))
     place = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy(F.col("p_partkey").desc()))
     books = t("part").select("p_brand", "p_type", F.col("p_partkey").alias("book_id"), place.alias("place"))
-    rows = seeds.join(books, ["p_brand", "p_type"]).where(F.col("place") <= MOST + F.col("owned")).select("user_id", "book_id").join(own, ["user_id", "book_id"], "left_anti")
-    return shelf.first_of_each(rows, ["user_id"], [F.col("book_id").desc()], MOST).drop("position")
+    rows = seeds.join(books, ["p_brand", "p_type"]).where(F.col("place") <= PER_USER + F.col("owned")).select("user_id", "book_id").join(own, ["user_id", "book_id"], "left_anti")
+    return shelf.first_of_each(rows, ["user_id"], [F.col("book_id").desc()], PER_USER).drop("position")
 
 
 @query(f"""
 WITH r AS (SELECT a.p_partkey AS seed_id, b.p_partkey AS book_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey AND NOT (a.p_brand = b.p_brand AND a.p_type = b.p_type))
-SELECT seed_id, book_id FROM r QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY book_id DESC) <= {MOST}
+SELECT seed_id, book_id FROM r QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY book_id DESC) <= {PER_SEED}
 """)
 def recs_same_author(t):
-    """The latest MOST books of a seed's author in other series. Of each series of an author the first MOST can count, no more."""
+    """The latest PER_SEED books of a seed's author in other series. Of each series of an author the first PER_SEED can count, no more."""
     place = F.row_number().over(Window.partitionBy("p_name", "p_brand", "p_type").orderBy(F.col("p_partkey").desc()))
-    a, b = t("part").alias("a"), t("part").withColumn("place", place).where(F.col("place") <= MOST).alias("b")
+    a, b = t("part").alias("a"), t("part").withColumn("place", place).where(F.col("place") <= PER_SEED).alias("b")
     rest = ~(F.col("a.p_brand").eqNullSafe(F.col("b.p_brand")) & F.col("a.p_type").eqNullSafe(F.col("b.p_type")))
     rows = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & rest).select(F.col("a.p_partkey").alias("seed_id"), F.col("b.p_partkey").alias("book_id"))
-    return shelf.first_of_each(rows, ["seed_id"], [F.col("book_id").desc()], MOST).drop("position")
+    return shelf.first_of_each(rows, ["seed_id"], [F.col("book_id").desc()], PER_SEED).drop("position")
 
 
 def _recs_merged(t, orders):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kura.operators import filters, shelf, tables
@@ -140,7 +141,7 @@ def shelf_totals(t):
 
 
 EVIDENCE = f"""k AS (SELECT user_id, book_id FROM collection WHERE book_id IS NOT NULL), v AS (SELECT * FROM books WHERE {VISIBLE} AND release_status <> 'cancelled'),
-seed AS (SELECT k.user_id, b.publisher_id, b.series_key, b.media_type, min(volume_label) AS seed_volume_label FROM k JOIN books b ON b.id = k.book_id GROUP BY 1, 2, 3, 4), author AS (SELECT DISTINCT k.user_id, author FROM k JOIN books b ON b.id = k.book_id WHERE author <> '' AND b.id % 20 = 3),
+seed AS (SELECT k.user_id, b.publisher_id, b.series_key, b.media_type, min(volume_label) AS seed_volume_label FROM k JOIN books b ON b.id = k.book_id GROUP BY 1, 2, 3, 4), author AS (SELECT DISTINCT k.user_id, author FROM k JOIN books b ON b.id = k.book_id WHERE author <> ''),
 e AS (SELECT user_id, v.id AS book_id, 'same_series' AS type, 0 AS source_rank, release_status, release_date, title, volume_label, seed_volume_label FROM seed JOIN v USING (publisher_id, series_key, media_type)
 UNION ALL SELECT user_id, v.id, 'followed_series', 1, release_status, release_date, title, volume_label, NULL FROM follows f JOIN v ON v.publisher_id = f.publisher_id AND v.series_key = f.normalized_series AND v.media_type = f.media_type
 UNION ALL SELECT user_id, v.id, 'same_author', 2, release_status, release_date, title, volume_label, NULL FROM author JOIN v USING (author)),
@@ -151,6 +152,9 @@ g AS (SELECT user_id, book_id, CAST(arg_min(own, source_rank * 1000 + place) + 2
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, coalesce(CAST(release_date AS VARCHAR), ''), title, book_id) AS position FROM g) SELECT user_id, book_id, score, types, reason, position FROM r WHERE position <= 6"""
 
 
+PER_SOURCE = 12
+
+
 def _evidence(t):
     owned = shop(t, "collection").where("book_id is not null").select("user_id", "book_id")
     books = shop(t, "books")
@@ -160,15 +164,17 @@ def _evidence(t):
     keys, none = ["publisher_id", "series_key", "media_type"], F.lit(None).cast("string")
     series = seeds.groupBy("user_id", *keys).agg(F.min("volume_label").alias("seed")).join(seen, keys)
     follow = shop(t, "follows").withColumnRenamed("normalized_series", "series_key").join(seen, keys)
-    author = seeds.where((F.col("author") != "") & (F.col("id") % 20 == 3)).select("user_id", "author").distinct().join(seen, "author")
+    held = owned.union(shop(t, "wishlist").select("user_id", "book_id")).groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy("author").orderBy(F.col("release_date").desc_nulls_last(), "id"))  # past those a user holds, a source gives PER_SOURCE
+    author = seeds.where(F.col("author") != "").select("user_id", "author").distinct().join(held, "user_id")
+    author = author.join(seen.withColumn("place", place), "author").where(F.col("place") <= PER_SOURCE + F.col("held"))
     rows = one(series, "same_series", 0, F.col("seed")).union(one(follow, "followed_series", 1, none)).union(one(author, "same_author", 2, none))
     return rows.join(owned, ["user_id", "book_id"], "left_anti").join(shop(t, "wishlist"), ["user_id", "book_id"], "left_anti")
 
 
 @query(with_shop(EVIDENCE, "books", "wishlist", "collection", "follows"))
 def recs_ranked(t):
-    cut = [F.col("release_date").desc_nulls_last(), F.col("book_id")]
-    return shelf.recommended(_evidence(t), cut, 6, 12).withColumn("position", F.col("position").cast("long"))
+    return shelf.recommended(_evidence(t), [F.col("release_date").desc_nulls_last(), F.col("book_id")], 6, PER_SOURCE).withColumn("position", F.col("position").cast("long"))
 
 
 @query(with_shop("""SELECT l.id AS left_id, arg_max(r.id, r.id) AS right_id FROM books l JOIN books r ON l.publisher_id = r.publisher_id AND l.normalized_title = r.normalized_title AND l.id % 2 = 0 AND r.id % 2 = 1 GROUP BY 1""", "books"))

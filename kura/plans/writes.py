@@ -243,12 +243,12 @@ def queue_results(t):
     return ingest.finished(queue, results, stamp(NOW)).select("url_hash", "status", F.to_date("next_attempt_at").cast("string").alias("next_day"))
 
 
-@query(f"""WITH q AS ({plain(QUEUE)}), u AS (SELECT event_type AS publisher_code, 'h' || (event_id + 9000) AS url_hash, event_id % 2 = 0 AS failed FROM events WHERE event_id < 2000)
+@query(f"""WITH q AS ({plain(QUEUE)}), u AS (SELECT event_type AS publisher_code, 'h' || (event_id + 9000) AS url_hash, event_id % 2 = 0 AS failed FROM events)
 SELECT coalesce(q.url_hash, u.url_hash) AS url_hash, CASE WHEN q.url_hash IS NULL OR u.failed THEN 'pending' ELSE status END AS status, CAST(CAST(CASE WHEN q.url_hash IS NULL THEN CASE WHEN failed THEN TIMESTAMP '1998-06-16' ELSE TIMESTAMP '{NOW}' END WHEN failed AND status = 'done' THEN TIMESTAMP '1998-06-16' ELSE next_attempt_at END AS DATE) AS VARCHAR) AS next_day
 FROM q FULL JOIN u ON q.publisher_code = u.publisher_code AND q.url_hash = u.url_hash""")
 def queue_reopened(t):
     k = F.col("event_id")
-    urls = t("events").where("event_id < 2000").select(F.col("event_type").alias("publisher_code"), F.concat(F.lit("h"), (k + 9000).cast("string")).alias("url_hash"), F.when(k % 2 == 0, "HTTP 500").alias("error"))
+    urls = t("events").select(F.col("event_type").alias("publisher_code"), F.concat(F.lit("h"), (k + 9000).cast("string")).alias("url_hash"), F.when(k % 2 == 0, "HTTP 500").alias("error"))
     return ingest.enqueued(derived(t, QUEUE), urls, stamp(NOW)).select("url_hash", "status", F.to_date("next_attempt_at").cast("string").alias("next_day"))
 
 
