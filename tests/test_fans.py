@@ -83,7 +83,7 @@ def few_orders(spark, tmp_path_factory):
     return top
 
 
-@pytest.mark.parametrize("name", ["milestone_events"])
+@pytest.mark.parametrize("name", ["follow_fanout", "milestone_events"])
 def test_pairs_are_not_dealt(spark, few_orders, name):
     con = duckdb.connect()
     for t in "part customer orders lineitem nation".split():
