@@ -299,7 +299,8 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_wor
     columns = [c for c in df.columns if c != removed_col]
     text, doc = (own.columns[columns.index(c)] for c in (text_col, id_col))
     names = own.columns
-    both = own.join(spans, (F.col(doc) == F.col("doc")) & (F.xxhash64(text) == F.col("row")), "left").drop("doc", "row")
+    # Merged at every size: with spans broadcast while they are few, small inputs would not show what large ones shuffle.
+    both = own.join(spans.hint("merge"), (F.col(doc) == F.col("doc")) & (F.xxhash64(text) == F.col("row")), "left").drop("doc", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
