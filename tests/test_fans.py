@@ -106,7 +106,7 @@ def long_series(spark, tmp_path_factory):
     tables = {
         "part": spark.range(6000).select(c("id").alias("p_partkey"), F.concat(F.lit("n"), c("id") % 7).alias("p_name"), F.when(c("id") % 50 > 0, F.concat(F.lit("Brand#"), c("id") % 3)).alias("p_brand"), F.lit("STANDARD").alias("p_type"), (c("id") % 2 * 3 + 1).cast("int").alias("p_size")),
         "customer": spark.range(1, 3600, 3).select(c("id").alias("c_custkey")),
-        "orders": spark.range(900).select(c("id").alias("o_orderkey"), (c("id") % 30).alias("o_custkey"), F.lit("F").alias("o_orderstatus")),
+        "orders": spark.range(900).select(c("id").alias("o_orderkey"), (c("id") % 31).alias("o_custkey"), F.lit("F").alias("o_orderstatus")),
         "lineitem": spark.range(900).select(c("id").alias("l_orderkey"), (5999 - c("id") * 7).alias("l_partkey"), F.lit(1).alias("l_linenumber"), F.lit(9.0).alias("l_quantity"), F.when(c("id") % 3 > 0, "A").otherwise("R").alias("l_returnflag"), F.lit("1997-01-01").cast("timestamp_ntz").alias("l_shipdate")),
         "nation": spark.range(1).select(c("id").alias("n_nationkey")),
     }
