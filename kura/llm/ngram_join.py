@@ -5,7 +5,8 @@ signature trees: its first level parts the classes by the tokens of their prefix
 first tokens in any common order; tokens that are frequent come last in the order, so the parts - blocks - stay small), and
 in each block a tree is built over the classes, ordered by size: nodes hold the OR of their members' token bitmaps, the
 size range and the most tokens without a bit of their own, and a dual traversal drops node pairs whose maximum possible
-overlap is too small. Bitmaps are laid out in the block, over the token fingerprints that two or more members hold, so
+overlap is too small. Before that, members that no other member of their block can link with, by the most overlap that the
+counts of their tokens in PLACES ranges allow, leave the block, so that only sets with a possible partner are read again. Bitmaps are laid out in the block, over the token fingerprints that two or more members hold, so
 that near misses are told apart there. Of the pairs that are left only those that connect something new in the block are
 emitted, and are checked on the sets; a block where a check fails is traversed again without that pair, and with TRIES more
 pairs a member, until none fails. So no link between components is missed, and a block's pairs in a round are in proportion
@@ -47,6 +48,11 @@ LEAF = 8
 TRIES = 32
 #: Most members of a block whose pairs are held against the positions of its token.
 MATRIX = 256
+#: Ranges of tokens, by their high bits, in which a sketch counts a set's tokens; sets of more than COUNTED tokens may pass a count.
+PLACES, COUNTED = 64, 65535
+#: Bits of the map of ids by which rows are passed over before they are joined.
+ID_BITS = 1 << 26
+
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
@@ -91,6 +97,12 @@ def fingerprints(coded: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps < 65535].astype(np.uint32)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many of the tokens lie in each of PLACES ranges."""
+    places = (tokens >> np.uint64(65 - PLACES.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(places, minlength=PLACES), COUNTED).astype(np.uint16).tobytes()
+
+
 def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A row of bits for each set over the fingerprints that two or more sets hold, and how many of a set's tokens
     have no bit of their own. An overlap is at most the common bits plus the lesser of these counts."""
@@ -215,8 +227,8 @@ def connect(sizes: np.ndarray, sets: list[np.ndarray], percent: int, linked: lis
 
 
 def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
-    """doc_id, size, key, prefix; with heavy, a broadcast sorted array of frequent tokens, also fingerprints."""
-    fields = "doc_id long, size long, key long, key2 long, prefix array<long>" + (", prints binary" if heavy else "")
+    """doc_id, size, key, prefix; with heavy, a broadcast sorted array of frequent tokens, also sketch."""
+    fields = "doc_id long, size long, key long, key2 long, prefix array<long>" + (", sketch binary" if heavy else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = heavy.value if heavy else None
@@ -229,19 +241,18 @@ def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
                     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                     order = s
                     p = prefix_length(s.size, percent)
-                    if frequent is not None and s.size:
-                        at = np.searchsorted(frequent, s)
-                        is_heavy = frequent[np.minimum(at, frequent.size - 1)] == s if frequent.size else np.zeros(s.size, bool)
-                        order = np.concatenate([s[~is_heavy], s[is_heavy]])
-                        out[4].append(prints(s))
-                    elif frequent is not None:
-                        out[4].append(b"")
+                    if frequent is not None:
+                        if s.size:
+                            at = np.searchsorted(frequent, s)
+                            is_heavy = frequent[np.minimum(at, frequent.size - 1)] == s if frequent.size else np.zeros(s.size, bool)
+                            order = np.concatenate([s[~is_heavy], s[is_heavy]])
+                        out[4].append(sketch(s))
                     for o, v in zip(out, (s.size, digest[0], digest[1], order[:p].view(np.int64)), strict=False):
                         o.append(v)
                 arrays = [batch["doc_id"], *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.list_(pa.int64()))]
                 names = ["doc_id", "size", "key", "key2", "prefix"]
                 if heavy:
-                    arrays, names = [*arrays, pa.array(out[4], pa.binary())], [*names, "prints"]
+                    arrays, names = [*arrays, pa.array(out[4], pa.binary())], [*names, "sketch"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.mapInArrow(run, fields)
@@ -320,6 +331,72 @@ def rest_blocks(hot: DataFrame, label: DataFrame) -> DataFrame:
     return whole.select(*columns).union(others.select(*columns)).distinct()
 
 
+def sift(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The members that may link with another one of their block, not of their component: an overlap is at most the sum, over all
+    ranges of tokens, of the lesser counts. Blocks that are equal then are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in by_key(batches, ["block"]):
+            if not some.num_rows:
+                continue
+            block, size = some["block"].to_numpy(), some["size"].to_numpy()
+            part, alone = some["component"].fill_null(0).to_numpy(), some["component"].is_null().to_numpy()
+            counts = np.frombuffer(b"".join(some["sketch"].to_pylist()), np.uint16).reshape(-1, PLACES)
+            keep = np.zeros(block.size, bool)
+            left, step = np.arange(block.size), 0
+            while left.size:  # members with a later one step places on, in order of size; sizes only move apart
+                step += 1
+                left = left[left + step < block.size]
+                right = left + step
+                left = left[(block[left] == block[right]) & (100 * size[left] >= percent * size[right])]
+                a, b = left, left + step
+                ask = ~(keep[a] & keep[b]) & (alone[a] | alone[b] | (part[a] != part[b]))
+                a, b = a[ask], b[ask]
+                most = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64)
+                may = (most >= need(size[a], size[b], percent)) | (size[b] > COUNTED)
+                keep[a[may]] = keep[b[may]] = True
+            if keep.any():
+                rest = some.select(["block", "key", "component"]).filter(pa.array(keep)).sort_by([("block", "ascending"), ("key", "ascending")])
+                block, key = rest["block"].to_numpy(), rest["key"].to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
+                ends = np.append(starts[1:], block.size)
+                ids = [xxhash.xxh3_64_intdigest(key[a:b].tobytes()) - (1 << 63) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield from rest.set_column(0, "block", pa.array(np.repeat(np.array(ids, np.int64), ends - starts))).to_batches()
+
+    rows = members.join(profiles.select("key", "size", "sketch"), "key").select("block", "key", "component", "size", "sketch")
+    return rows.repartition("block").sortWithinPartitions("block", "size").mapInArrow(run, "block long, key long, component long").distinct()
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with all rows whose doc_id is in ids and few others: a map of ID_BITS bits, at most 8 MB, is sent to all tasks."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)) + 1
+    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros(ID_BITS // 8, np.uint8)
+    for r in parts.collect():
+        own = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["bucket"] - 1) * own.size :][: own.size] = own
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["place"].to_numpy() - 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array((held.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
+
+
+def with_prints(texts: DataFrame, n: int) -> DataFrame:
+    """key, size, text and prints, the fingerprints of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                coded = [prints(shingles(words_of(t), n)) for t in texts_of(batch, "text")]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("key", "size", "text")), pa.array(coded, pa.binary())], names=["key", "size", "text", "prints"])
+
+    return texts.select("key", "size", "text").mapInArrow(run, "key long, size long, text string, prints binary")
+
+
 def candidates(members: DataFrame, classes: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
     """block, a, b: pairs of keys to check. Members of equal component are linked already; null is none."""
     null = lambda kind: F.lit(None).cast(kind)
@@ -440,18 +517,12 @@ def join_unique(df: DataFrame, text_col: str, id_col: str, n: int, percent: int)
     members = materialize(blocks(tokens, percent).withColumn("component", F.lit(None).cast("long")), "ngram-blocks")
     hot = materialize(tokens.where("parts > 1").select("token", "parts", "key").distinct(), "ngram-hot-tokens")
     tidy(spark)
-    used = members.select("key").distinct()
-    owned = materialize(profiles.select("doc_id", "key", "size", "prints").join(used, "key"), "ngram-prints")
-    release(profiles)
-    tidy(spark)
-    texts = materialize(docs.join(owned.select("doc_id", "key"), "doc_id").select("key", "text"), "ngram-texts")
-    tidy(spark)
-    links = linked_pairs(members, owned, texts, n, percent)
+    links = linked_in(members, profiles, docs, n, percent)
     if hot.take(1):
         more = materialize(rest_blocks(hot, components(links)), "ngram-rest")
-        links = links.union(linked_pairs(more, owned, texts, n, percent))
+        links = links.union(linked_in(more, profiles, docs, n, percent))
     links = materialize(links, "ngram-links")
-    release(texts, owned, members)
+    release(profiles, members)
     tidy(spark)
     node = classes.select("key", "doc_id")
     edges = links.join(node.withColumnsRenamed({"key": "a", "doc_id": "x"}), "a").join(node.withColumnsRenamed({"key": "b", "doc_id": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -460,15 +531,26 @@ def join_unique(df: DataFrame, text_col: str, id_col: str, n: int, percent: int)
     return rows.withColumnRenamed("size", "n_shingles").join(named, ["key", "key2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def linked_pairs(members: DataFrame, owned: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def linked_in(members: DataFrame, profiles: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """linked_pairs of the members that may link, whose texts alone are read and sent."""
+    few = materialize(sift(members, profiles, percent), "ngram-sifted")
+    owned = materialize(profiles.select("doc_id", "key", "size").join(few.select("key").distinct(), "key"), "ngram-owned")
+    texts = materialize(with_prints(likely(docs, owned.select("doc_id")).join(owned, "doc_id"), n), "ngram-texts")
+    tidy(members.sparkSession)
+    links = linked_pairs(few, texts, n, percent)
+    release(few, owned, texts)
+    return links
+
+
+def linked_pairs(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: links that connect in each block of members what any links connect. Each round tries pairs in the blocks where one failed."""
     links, tried, todo = None, None, members
     while True:
-        pairs = materialize(candidates(todo, owned, tried, percent), "ngram-pairs")
+        pairs = materialize(candidates(todo, texts, tried, percent), "ngram-pairs")
         tidy(members.sparkSession)
         once = pairs.select("a", "b").distinct()
         ids = once.select(F.col("a").alias("key")).union(once.select(F.col("b").alias("key"))).distinct()
-        checked = materialize(verify(once, texts.join(ids, "key", "left_semi"), n, percent), "ngram-checked")
+        checked = materialize(verify(once, texts.select("key", "text").join(ids, "key", "left_semi"), n, percent), "ngram-checked")
         found = checked.where("linked").select("a", "b")
         links = found if links is None else links.union(found)
         results = pairs.join(checked, ["a", "b"]).select("block", "a", "b", "linked")

@@ -164,6 +164,37 @@ def test_ngram_join_of_tokens_in_many_parts(spark, monkeypatch, leaders):
     assert got == brute_components(rows, 2, 85)
 
 
+def test_ngram_join_reads_only_sets_with_a_possible_partner(spark, monkeypatch):
+    """Unlike texts that share a rare token leave their blocks by their sketches; blocks that are equal then are one."""
+    texts = [" ".join(f"w{i}.{j}" for j in range(60)) for i in range(40)]
+    near = [" ".join([*texts[i].split()[:-1], "other"]) for i in range(0, 40, 4)]
+    sets = [f"{t} a rare token" for t in texts] + near
+    held = []
+    pairs = ngram_join.linked_pairs
+    monkeypatch.setattr(ngram_join, "linked_pairs", lambda members, texts, *a: held.append((members.collect(), texts.select("key").collect())) or pairs(members, texts, *a))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(list(enumerate(sets)), "doc_id long, text string"), n=3, percent=80).collect()}
+    assert got == {i: i for i in range(40)} | {40 + i: 4 * i for i in range(10)}
+    members, keys = held[0]
+    assert len(keys) == 20 and len({m.block for m in members}) == 10 and len(members) == 20
+
+
+def test_ngram_sift_keeps_every_pair_that_links(spark):
+    rng = random.Random(5)
+    base = [[rng.randrange(1 << 64) for _ in range(rng.randint(1, 300))] for _ in range(30)]
+    sets = [np.unique(np.array([t if rng.random() > 0.06 else rng.randrange(1 << 64) for t in b] + [rng.randrange(1 << 64)] * rng.randint(0, 2), np.uint64)) for b in base for _ in range(4)]
+    profiles = spark.createDataFrame([(k, s.size, bytearray(ngram_join.sketch(s))) for k, s in enumerate(sets)], "key long, size long, sketch binary")
+    members = [(k % 2, k, c) for k in range(len(sets)) for c in ([None] if k % 3 else [k % 5 + 1])]
+    got = {r.key for r in ngram_join.sift(spark.createDataFrame(members, "block long, key long, component long"), profiles, 80).collect()}
+    part = {k: c for _, k, c in members}
+    want = set()
+    for a in range(len(sets)):
+        for b in range(a + 2, len(sets), 2):
+            common = np.intersect1d(sets[a], sets[b]).size
+            if 100 * common >= 80 * (sets[a].size + sets[b].size - common) and (part[a] is None or part[a] != part[b]):
+                want |= {a, b}
+    assert want and want <= got and len(got) < len(sets)
+
+
 def test_ngram_join_of_shared_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (0, c), (4, c + " end"), (4, ""), (None, b), (None, "q")]
