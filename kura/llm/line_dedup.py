@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, by_key, chunks, materialize, release
+from .common import WHITE, by_key, chunks, fresh, materialize, release
 
 #: Words of the smallest block that is deleted.
 MIN_WORDS = 25
@@ -77,7 +77,7 @@ def lines(df: DataFrame, text_col: str, id_col: str, min_words: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "pos", "words", "line", "line2"])
 
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return rows.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, LINES)
+    return rows.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(fresh(run), LINES)
 
 
 def least_blocks(words: list[int], min_words: int) -> set[tuple[int, int]]:
@@ -152,7 +152,7 @@ def evidence(shared: DataFrame, min_words: int, most: int) -> DataFrame:
                 document(int(doc[a]), int(row[a]), pos[a:b], words[a:b], marks[a:b], rare[a:b], out)
             yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
 
-    return shared.repartition("doc", "row").sortWithinPartitions("doc", "row", "pos").mapInArrow(run, EVIDENCE)
+    return shared.repartition("doc", "row").sortWithinPartitions("doc", "row", "pos").mapInArrow(fresh(run), EVIDENCE)
 
 
 def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ def matches(places: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc long, row long, other long, other_row long, diagonal long, start int, stop int, before long, upto long"
-    return places.repartition("key", "key2").sortWithinPartitions("key", "key2", "doc", "row", "start").mapInArrow(run, schema)
+    return places.repartition("key", "key2").sortWithinPartitions("key", "key2", "doc", "row", "start").mapInArrow(fresh(run), schema)
 
 
 def piles(starts: list[int], ends: list[int]) -> list[int]:
@@ -249,7 +249,7 @@ def align(found: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc": doc[head], "row": row[head], "start": start[head], "stop": last.astype(np.int32), "pile": np.array(pile, np.int32)})
 
     pair = ("doc", "row", "other", "other_row")
-    return found.repartition(*pair).sortWithinPartitions(*pair, "diagonal", "start").mapInArrow(run, BLOCKS)
+    return found.repartition(*pair).sortWithinPartitions(*pair, "diagonal", "start").mapInArrow(fresh(run), BLOCKS)
 
 
 def deletions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
@@ -316,7 +316,7 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_wor
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, pa.int64())], names=[*names, "removed"])
 
     schema = T.StructType([*own.schema.fields, T.StructField("removed", T.LongType())])
-    out = both.mapInArrow(run, schema)
+    out = both.mapInArrow(fresh(run), schema)
     return out.select(*[F.col(o).alias(c) for o, c in zip(own.columns, columns, strict=True)], F.col("removed").alias(removed_col))
 
 

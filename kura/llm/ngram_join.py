@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, chunks, materialize, release, texts_of, tidy
+from .common import by_key, chunks, fresh, materialize, release, texts_of, tidy
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: At most so many frequent tokens are sent to all tasks; with fewer than LEAST rows a token isn't frequent.
@@ -255,7 +255,7 @@ def profile(df: DataFrame, n: int, percent: int, heavy=None) -> DataFrame:
                     arrays, names = [*arrays, pa.array(out[4], pa.binary())], [*names, "sketch"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(fresh(run), fields)
 
 
 def dealt(profiles: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def blocks(tokens: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(members))], names=["block", "key"])
 
     rows = tokens.select("token", "part", "key", "place")
-    return rows.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "block long, key long").distinct()
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(fresh(run), "block long, key long").distinct()
 
 
 def rest_blocks(hot: DataFrame, label: DataFrame) -> DataFrame:
@@ -364,11 +364,11 @@ def sift(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
                 yield from rest.set_column(0, "block", pa.array(np.repeat(np.array(ids, np.int64), ends - starts))).to_batches()
 
     rows = members.join(profiles.select("key", "size", "sketch"), "key").select("block", "key", "component", "size", "sketch")
-    return rows.repartition("block").sortWithinPartitions("block", "size").mapInArrow(run, "block long, key long, component long").distinct()
+    return rows.repartition("block").sortWithinPartitions("block", "size").mapInArrow(fresh(run), "block long, key long, component long").distinct()
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with all rows whose doc_id is in ids and few others: a map of ID_BITS bits, at most 8 MB, is sent to all tasks."""
+def likely(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id, text and prints (the fingerprints of the text's set) of all docs whose doc_id is in ids and of few others: a map of ID_BITS bits, at most 8 MB, is sent to all tasks."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)) + 1
     parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(ID_BITS // 8, np.uint8)
@@ -377,24 +377,15 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
         bits[(r["bucket"] - 1) * own.size :][: own.size] = own
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch["place"].to_numpy() - 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array((held.value[at >> 3] >> (at & 7) & 1).astype(bool)))
-
-    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
-
-
-def with_prints(texts: DataFrame, n: int) -> DataFrame:
-    """key, size, text and prints, the fingerprints of the text's set."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            at = whole["place"].to_numpy() - 1
+            found = whole.select(["doc_id", "text"]).filter(pa.array((held.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+            for batch in chunks(found, "text"):
                 coded = [prints(shingles(words_of(t), n)) for t in texts_of(batch, "text")]
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("key", "size", "text")), pa.array(coded, pa.binary())], names=["key", "size", "text", "prints"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded, pa.binary())], names=["doc_id", "text", "prints"])
 
-    return texts.select("key", "size", "text").mapInArrow(run, "key long, size long, text string, prints binary")
+    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(fresh(run), "doc_id long, text string, prints binary")
 
 
 def candidates(members: DataFrame, classes: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
@@ -444,7 +435,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                     linked.append(100 * common >= percent * (s.size + t.size - common))
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "ta", "tb").mapInArrow(fresh(run), "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -535,7 +526,7 @@ def linked_in(members: DataFrame, profiles: DataFrame, docs: DataFrame, n: int,
     """linked_pairs of the members that may link, whose texts alone are read and sent."""
     few = materialize(sift(members, profiles, percent), "ngram-sifted")
     owned = materialize(profiles.select("doc_id", "key", "size").join(few.select("key").distinct(), "key"), "ngram-owned")
-    texts = materialize(with_prints(likely(docs, owned.select("doc_id")).join(owned, "doc_id"), n), "ngram-texts")
+    texts = materialize(likely(docs, owned.select("doc_id"), n).join(owned, "doc_id").select("key", "size", "text", "prints"), "ngram-texts")
     tidy(members.sparkSession)
     links = linked_pairs(few, texts, n, percent)
     release(few, owned, texts)

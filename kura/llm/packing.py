@@ -20,7 +20,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import ForestBPE
-from .common import Memo, chunks, materialize
+from .common import Memo, chunks, materialize, one_at_a_time
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 2048
@@ -75,7 +74,7 @@ class WordForest(ForestBPE):
         return out
 
 
-@lru_cache(maxsize=1)
+@one_at_a_time
 def word_ids(path: str) -> Memo:
     """From words between ASCII white space to int32 strings of ids. White space is dropped by the tokenizer, and
     nothing in it reaches across, so words are read one by one; plain ASCII words go through the forest, and words with the string

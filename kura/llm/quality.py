@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import load_ranks
-from .common import WHITE, Memo, materialize, texts_of, with_columns
+from .common import WHITE, Memo, materialize, one_at_a_time, texts_of, with_columns
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,7 +60,7 @@ FIELDS = [
 HEAD = 4
 
 
-@lru_cache(maxsize=2)
+@one_at_a_time
 def words_of(path: str, byte_path: str) -> Memo:
     """From words to int32 strings of HEAD and piece ids."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)

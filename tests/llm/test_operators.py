@@ -164,6 +164,20 @@ def test_ngram_join_of_tokens_in_many_parts(spark, monkeypatch, leaders):
     assert got == brute_components(rows, 2, 85)
 
 
+def test_a_worker_holds_the_models_of_one_operator():
+    import gc
+    import weakref
+
+    first = weakref.ref(quality.words_of(quality.VOCABULARY, quality.BYTE_VOCABULARY))
+    assert quality.words_of(quality.VOCABULARY, quality.BYTE_VOCABULARY) is first()
+    second = weakref.ref(packing.word_ids(packing.VOCABULARY))
+    gc.collect()
+    assert first() is None and packing.word_ids(packing.VOCABULARY) is second()
+    quality.words_of(quality.VOCABULARY, quality.BYTE_VOCABULARY)
+    gc.collect()
+    assert second() is None
+
+
 def test_ngram_join_reads_only_sets_with_a_possible_partner(spark, monkeypatch):
     """Unlike texts that share a rare token leave their blocks by their sketches; blocks that are equal then are one."""
     texts = [" ".join(f"w{i}.{j}" for j in range(60)) for i in range(40)]
