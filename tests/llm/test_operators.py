@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -310,6 +311,31 @@ def test_packing(docs):
     assert packing.pack(empty(docs)).count() == 0
 
 
+def test_packing_reads_plain_words_without_the_library():
+    """Words of Latin letters, digits and symbols are cut and merged here, with the library's ids; the library gets the others only."""
+    tokenizer, rng = Tokenizer.from_file(packing.VOCABULARY), random.Random(4)
+    model, asked = packing.WordIds(packing.VOCABULARY), []
+    read = model.words.fn
+    model.words.fn = lambda words: asked.extend(words) or read(words)
+
+    def check(texts):
+        ids, bounds = packing.ids_of(pa.array(texts, pa.string()), model)
+        for t, a, b in zip(texts, bounds, bounds[1:], strict=False):
+            assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+    plain = [chr(c) for c in range(0x21, 0x180) if packing.KIND[c]]
+    check([w for c in plain for w in (c, f"a{c}b", f"1{c}2", c + c, f"'{c}", f"{c}'S", f"{c}'")])
+    some = ["'", "'", "s", "T", "re", "ll", "V", "e", "Ÿ", "ß", "É", "¼", "7", ",", "«"]
+    check(["".join(rng.choice(some) for _ in range(rng.randint(1, 12))) for _ in range(3000)])
+    check(["é" * 32, "été" * 9, "a" * 64])
+    assert not asked
+    odd = [chr(c) for c in range(0x300) if not (c < 0x180 and packing.KIND[c])]
+    check([w for c in odd for w in (c, f"a{c}b", f"x {c} Y")])
+    check(["日本", "e\u0301 e \u0301", "K'S", "İ'ſ", "<|ENDOFTEXT|>É <|endoftext|>é's", "é" * 33, "x" * 5000 + ",'s", None, "", " \n"])
+    check([])
+    assert "日本".encode() in asked and b"Y" not in asked
+
+
 def brute_measures(text, pieces, codec):
     """The fertility measures, word by word."""
     ids, chars, own = [], 0, 0
