@@ -99,6 +99,37 @@ def test_pairs_are_not_dealt(spark, few_orders, name):
     assert dealt < len(got)
 
 
+def test_pairs_are_small_in_files(spark, tmp_path):
+    fans = spark.range(400).select(F.col("id").alias("user_id"), F.lit("k").alias("key"), F.when(F.col("id") % 3 > 0, F.array(F.col("id"), F.lit(20000))).alias("held"))
+    fans = fans.union(spark.createDataFrame([(None, "k", [7]), (900, "other", None), (901, None, None)], "user_id long, key string, held array<long>"))
+    books = spark.range(24000).select(F.col("id").alias("book_id"), F.lit("k").alias("key")).union(spark.createDataFrame([(None, "k"), (None, "k"), (5, "k"), (6, None)], "book_id long, key string"))
+    ingest.fanned(fans, books, ["key"]).write.parquet(f"{tmp_path}/pairs")
+    expected = fans.join(books, "key").where(~F.coalesce(F.array_contains("held", F.col("book_id")), F.lit(False)))
+    same = [F.count(F.lit(1)), F.sum(F.xxhash64("user_id", "book_id").cast("decimal(20)")), F.sum(F.col("book_id").isNull().cast("int"))]
+    rows, *rest = expected.agg(*same).first()
+    assert (rows, *rest) == tuple(spark.read.parquet(f"{tmp_path}/pairs").agg(*same).first())
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < rows // 2  # bytes
+
+
+def test_owned_rows_are_dealt_twice(spark, tmp_path):
+    c, con = F.col, duckdb.connect()
+    tables = {
+        "part": spark.range(100).select(c("id").alias("p_partkey"), F.concat(F.lit("Brand#"), (c("id") % 30).cast("string")).alias("p_brand")),
+        "orders": spark.range(300).select(c("id").alias("o_orderkey"), F.when(c("id") % 10 > 0, c("id") % 40).alias("o_custkey")),
+        "lineitem": spark.range(9000).select((c("id") % 310).alias("l_orderkey"), F.when(c("id") % 7 > 0, c("id") % 103).alias("l_partkey")),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        got, _, dealt = work(catalog.QUERIES["follow_fanout"](spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(con.execute(catalog.ORACLES["follow_fanout"]).fetchall())
+    assert dealt < 2 * 9000 + 2000
+
+
 @pytest.fixture(scope="module")
 def long_series(spark, tmp_path_factory):
     """Few series of many books; users who hold some."""
